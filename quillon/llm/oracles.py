@@ -27,6 +27,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: Rank, kind, pattern, least length of what is kept (of the second group for assign).
+_ASSIGN = r'(?i:password|passwd|secret|token|api_?key)["\x27]?\x20*[:=]\x20*["\x27]?'
+_SECRETS = (
+    (0, "assign", _ASSIGN + r"[A-Za-z0-9+/_.=-]+"),
+    (1, "access", r"AKIA[A-Z0-9]+"),
+    (2, "hex", r"[0-9a-f]+"),
+    (3, "github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    (4, "google", r"AIza[0-9A-Za-z_-]{35}"),
+    (5, "jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    (6, "slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    (7, "pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+)
+_KEPT = {0: rf"regexp_matches(m, '^{_ASSIGN}[A-Za-z0-9+/_.=-]{{6,}}$')", 1: "length(m) >= 20", 2: "length(m) >= 24"}
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, '{kind}' AS kind, unnest(string_split_regex(t, '{p}')) AS p, unnest(regexp_extract_all(t, '{p}') || [NULL]) AS m, "
+    f"unnest(range(0, len(string_split_regex(t, '{p}')))) AS i FROM d"
+    for k, kind, p in _SECRETS
+)
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_FOUND}),
+e AS (SELECT *, sum(length(p) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id, k ORDER BY i) AS z FROM f),
+s AS (
+  SELECT doc_id, k, kind, CAST(z - length(m) AS BIGINT) AS a, kind || ':' || CAST(CAST(z - length(m) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(z AS BIGINT) AS VARCHAR) AS x
+  FROM e WHERE m IS NOT NULL AND CASE k WHEN 0 THEN {_KEPT[0]} WHEN 1 THEN {_KEPT[1]} WHEN 2 THEN {_KEPT[2]} ELSE true END
+), g AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(x, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
 ORACLES = {
     "op2_decontaminate": OP2,
+    "op8_secrets": OP8,
 }

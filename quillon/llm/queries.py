@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, secrets
 from .common import sha256_hex, table
 
 
@@ -14,6 +14,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def _joined(spans) -> "F.Column":
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *map(count, secrets.BASE), sha256_hex(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op8_secrets": op8_secrets,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secrets, urls
+from . import decontaminate, secrets, simhash, urls
 from .common import sha256_hex, table
 
 
@@ -18,6 +18,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
+
+
 def _joined(spans) -> "F.Column":
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -33,5 +38,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_urls": op1_urls,
     "op2_decontaminate": op2_decontaminate,
+    "op3_simhash": op3_simhash,
     "op8_secrets": op8_secrets,
 }

@@ -61,7 +61,22 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
 """
 
+OP10 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i + 1 : i + 50], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)
+), f AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN f USING (h) WHERE doc_id > first),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+t AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM d),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS s FROM t ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 ORACLES = {
     "op2_decontaminate": OP2,
     "op8_secrets": OP8,
+    "op10_substrings": OP10,
 }

@@ -75,8 +75,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+OP9 = r"""
+WITH l AS (
+  SELECT doc_id, source, x, trim(x, ' ' || chr(9) || chr(13)) AS k, i
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)
+), b AS (
+  SELECT k, min({'d': doc_id, 'i': i}) AS first FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce(source, '')) >= 10
+), j AS (SELECT l.*, b.first IS NOT NULL AND b.first <> {'d': doc_id, 'i': i} AS gone FROM l LEFT JOIN b USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
 ORACLES = {
     "op2_decontaminate": OP2,
     "op8_secrets": OP8,
+    "op9_lines": OP9,
     "op10_substrings": OP10,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secrets, simhash, substrings, urls
+from . import decontaminate, lines, secrets, simhash, substrings, urls
 from .common import sha256_hex, table
 
 
@@ -35,6 +35,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), sha256_hex(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), sha256_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("text")).alias("kept_sha256"))
@@ -45,5 +50,6 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op8_secrets": op8_secrets,
+    "op9_lines": op9_lines,
     "op10_substrings": op10_substrings,
 }

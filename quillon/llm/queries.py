@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, secrets, simhash, substrings, urls
+from . import decontaminate, langid, lines, secrets, simhash, substrings, urls
 from .common import sha256_hex, table
 
 
@@ -28,6 +28,11 @@ def _joined(spans) -> "F.Column":
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.predict(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.size("_spans").alias("n_spans"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -49,6 +54,7 @@ QUERIES = {
     "op1_urls": op1_urls,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
+    "op7_langid": op7_langid,
     "op8_secrets": op8_secrets,
     "op9_lines": op9_lines,
     "op10_substrings": op10_substrings,

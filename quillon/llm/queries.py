@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, secrets, simhash, substrings, urls
+from . import decontaminate, langid, lines, sampling, secrets, simhash, substrings, urls
 from .common import sha256_hex, table
 
 
@@ -28,6 +28,14 @@ def _joined(spans) -> "F.Column":
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sampling.against_neighbours(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), sha256_hex(F.col("edited")).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.predict(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.size("_spans").alias("n_spans"))
@@ -54,6 +62,7 @@ QUERIES = {
     "op1_urls": op1_urls,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
+    "op6_fingerprints": op6_fingerprints,
     "op7_langid": op7_langid,
     "op8_secrets": op8_secrets,
     "op9_lines": op9_lines,

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, sampling, secrets, simhash, substrings, urls
+from . import decontaminate, langid, lines, pii, sampling, secrets, simhash, substrings, urls
 from .common import sha256_hex, table
 
 
+def _joined(spans) -> "F.Column":
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -23,9 +28,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
 
 
-def _joined(spans) -> "F.Column":
-    """kind:start:end of each span, comma-joined."""
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), sha256_hex(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +69,7 @@ QUERIES = {
     "op1_urls": op1_urls,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op6_fingerprints": op6_fingerprints,
     "op7_langid": op7_langid,
     "op8_secrets": op8_secrets,

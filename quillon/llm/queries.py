@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, pii, sampling, secrets, simhash, substrings, urls
+from . import decontaminate, langid, lines, mixing, pii, sampling, secrets, simhash, substrings, urls
 from .common import sha256_hex, table
 
 
@@ -35,6 +35,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), sha256_hex(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sampling.against_neighbours(table(spark, sf_dir, "documents"))
     return found.select(
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
+    "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
     "op7_langid": op7_langid,
     "op8_secrets": op8_secrets,

@@ -37,14 +37,33 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 
 def variates(terms: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r and ln c, with r and c from Gamma(2, 1), and beta from Uniform(0, 1), each [terms, samples]."""
-    seeds = np.arange(1, samples + 1, dtype=np.uint64) * _STEP
-    halves = []
-    for j in range(3):
-        z = _mix(terms[:, None] ^ _mix(seeds + np.uint64(j))[None, :])
-        halves += [z >> np.uint64(32), z & np.uint64(0xFFFFFFFF)]
-    u = [(h.astype(np.float64) + 0.5) * 2.0**-32 for h in halves[:5]]
-    return -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
+    """r and ln c, with r and c from Gamma(2, 1), and beta from Uniform(0, 1), each [terms, samples].
+
+    In single precision, and by blocks that stay in cache: these take most of the time.
+    """
+    seeds = _mix(np.arange(1, samples + 1, dtype=np.uint64) * _STEP)
+    r, log_c, beta = (np.empty((len(terms), samples), dtype=np.float32) for _ in range(3))
+
+    def uniforms(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers inside (0, 1) from each 64 bits."""
+        u = (z.view(np.uint32) >> np.uint32(9)).astype(np.float32)
+        u += np.float32(0.5)
+        u *= np.float32(2.0**-23)
+        return u[:, 0::2], u[:, 1::2]
+
+    for at in range(0, len(terms), 128):
+        block = slice(at, at + 128)
+        z = _mix(terms[block, None] ^ seeds[None, :])
+        a, b = uniforms(z)
+        np.negative(np.log(a * b), out=r[block])
+        z *= np.uint64(0xD6E8FEB86659FD93)
+        z ^= z >> np.uint64(32)
+        a, b = uniforms(z)
+        np.log(-np.log(a * b), out=log_c[block])
+        z *= np.uint64(0xD6E8FEB86659FD93)
+        z ^= z >> np.uint64(32)
+        beta[block] = uniforms(z)[0]
+    return r, log_c, beta
 
 
 def weights(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +71,7 @@ def weights(text: str) -> tuple[np.ndarray, np.ndarray]:
     count = Counter(text.encode("utf-8").lower().split())
     terms = np.fromiter(map(xxhash.xxh64_intdigest, count), dtype=np.uint64, count=len(count))
     order = np.argsort(terms)
-    return terms[order], np.fromiter(count.values(), dtype=np.float64, count=len(count))[order]
+    return terms[order], np.fromiter(count.values(), dtype=np.float32, count=len(count))[order]
 
 
 def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:

@@ -40,6 +40,23 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
 
 
+def packed(documents: DataFrame) -> DataFrame:
+    """Each row as one struct, _doc, so that no column of it can clash with an operator's own."""
+    return documents.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in documents.columns]).alias("_doc"))
+
+
+def of(name: str) -> Column:
+    """A column of a packed row."""
+    return F.col("_doc").getField(name)
+
+
+def unpacked(df: DataFrame, documents: DataFrame, **new: Column) -> DataFrame:
+    """The columns of documents again, some with new values; n_chars follows a new text."""
+    if "text" in new and "n_chars" in documents.columns:
+        new = new | {"n_chars": F.length(new["text"]).cast(documents.schema["n_chars"].dataType)}
+    return df.select(*[new.get(c, of(c)).alias(c) for c in documents.columns])
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, ascii_lower, small
+from .common import PLAIN_WORD, ascii_lower, of, packed, small, stored, unpacked
 
 WINDOW = 8
 #: Room for the length in a window's code: code = position * STRIDE + length.
@@ -130,13 +130,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, min_items: int = 2
     All columns stay, and n_chars follows the text where there is one. Order
     and repeated rows stay as they are.
     """
-    verdict = contamination(documents, benchmark, min_items).where("n_items > 0")
+    verdict = contamination(documents.select("doc_id", "text"), benchmark, min_items).where("n_items > 0")
     verdict = verdict.groupBy("doc_id", "_key").agg(F.first("hits").alias("_hits"), F.first("contaminated").alias("_bad"))
-    verdict = verdict.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_vkey"), "_hits", "_bad")
-    docs = documents.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_vkey")), "left")
-    docs = docs.where("not coalesce(_bad, false)")
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(removed_text(F.col("text"), F.col("_hits")))
-    docs = docs.withColumn("text", text)
-    if "n_chars" in documents.columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return docs.select(*documents.columns)
+    verdict = stored(verdict.select(F.col("doc_id").alias("_id"), "_key", "_hits", "_bad"), "contaminated")
+    size = verdict.agg(F.count("*"), F.coalesce(F.sum(F.size("_hits")), F.lit(0))).first()
+    mine = of("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(of("text")) == F.col("_key"))
+    docs = packed(documents).join(small(verdict, size[0] * 64 + size[1] * 32, 1), mine, "left").where("not coalesce(_bad, false)")
+    text = F.when(F.col("_hits").isNull(), of("text")).otherwise(removed_text(of("text"), F.col("_hits")))
+    return unpacked(docs, documents, text=text)

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import of, packed, unpacked
+
 BUCKETS = 1 << 16
 #: First code points of script ranges (fixed values, by Unicode block), and names.
 SCRIPTS = (
@@ -181,37 +183,36 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """Per row of documents: all its columns, _lang, _score, _spans (array of lang, start, end in code points).
+    """Per row of documents: _doc (all its columns), _lang, _score, _spans (array of lang, start, end in code points).
 
     A text that is null, empty or without letters has language und, score 0
     and no spans; so has every text if nothing was learned.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    names = documents.columns
-    at = names.index("text")
+    rows = packed(documents).select("_doc", of("text").alias("_text"))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.predict(t.as_py()) for t in b.column(at)]
+            found = [shared.value.predict(t.as_py()) for t in b.column(1)]
             spans = pa.array([[{"lang": x, "start": i, "end": j} for x, i, j in f[2]] for f in found], kind)
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, "_lang", "_score", "_spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["_doc", "_lang", "_score", "_spans"])
 
     span = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*documents.schema.fields]).add("_lang", "string").add("_score", "double").add("_spans", span)
-    return documents.mapInArrow(run, schema)
+    schema = T.StructType([rows.schema["_doc"], T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_spans", span)])
+    return rows.mapInArrow(run, schema)
 
 
 def predict(documents: DataFrame) -> DataFrame:
     """Learns from the documents that are not held out, and identifies all: doc_id, held_out, _lang, _score, _spans."""
     model = train(documents.where(~held_out(F.col("doc_id"))))
     found = identify(documents.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_lang", "_score", "_spans")
+    return found.select(of("doc_id").alias("doc_id"), held_out(of("doc_id")).alias("held_out"), "_lang", "_score", "_spans")
 
 
 def keep_identified(documents: DataFrame, min_score: float = 0.3) -> DataFrame:
     """documents whose language is known, with a score of min_score at least; all columns stay."""
     model = train(documents.where(~held_out(F.col("doc_id"))))
     found = identify(documents, model)
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)).select(*documents.columns)
+    return unpacked(found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)), documents)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, small, stored
+from .common import NO_ID, of, packed, small, stored, unpacked
 
 #: A line on so many distinct sites or more is boilerplate.
 MIN_SITES = 10
@@ -62,7 +62,7 @@ def _removals(documents: DataFrame, min_sites: int) -> DataFrame:
 
 
 def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """All columns of documents, the text without boilerplate lines (n_chars follows it), and _n_lines, _n_removed.
+    """Per row of documents: _doc (all its columns), _text (without boilerplate lines), _n_lines and _n_removed.
 
     Of each such line the first occurrence stays, by smallest doc_id, then by
     position; rows that repeat id and text keep it alike. A document that is
@@ -71,15 +71,17 @@ def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> Data
     """
     gone = stored(_removals(documents, min_sites), "gone")
     size = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_gone")), F.lit(0)).alias("k")).first()
-    mine = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_i")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_t"))
-    docs = documents.join(small(gone, size["n"] * 64 + size["k"] * 8, 1), mine, "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    docs = docs.withColumns({
-        "_n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint"),
-        "_n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint"),
-        "_kept": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-    })
-    docs = docs.withColumn("text", F.col("_kept"))
-    if "n_chars" in documents.columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return docs.select(*documents.columns, "_n_lines", "_n_removed")
+    mine = (F.coalesce(of("doc_id"), F.lit(NO_ID)) == F.col("_i")) & (F.xxhash64(F.coalesce(of("text"), F.lit(""))) == F.col("_t"))
+    docs = packed(documents).join(small(gone, size["n"] * 64 + size["k"] * 8, 1), mine, "left")
+    kept = F.filter(F.split(of("text"), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    return docs.select(
+        "_doc",
+        F.when(F.col("_gone").isNull(), of("text")).otherwise(F.array_join(kept, "\n")).alias("_text"),
+        F.when(of("text").isNull(), 0).otherwise(F.size(F.split(of("text"), "\n", -1))).cast("bigint").alias("_n_lines"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias("_n_removed"),
+    )
+
+
+def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """documents, their texts without boilerplate lines, n_chars following."""
+    return unpacked(remove_boilerplate(documents, min_sites), documents, text=F.col("_text"))

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import of, packed, stored
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the token budget.
-TARGETS = {"good": 0.85, "poor": 0.15, "toxic": 0.0}
+TARGETS = {"good": 0.84, "poor": 0.15, "toxic": 0.01}
 #: The labelled sample: at most so many rows, those of the smallest hashes.
 TRAIN_ROWS = 20_000
 #: Words in the lexicon, and how many labelled documents must hold one.
@@ -139,18 +139,17 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, steps:
 
 
 def with_posteriors(documents: DataFrame, classifier: Classifier) -> DataFrame:
-    """documents with _tokens and _q, thousandths for each domain."""
+    """Per row of documents: _doc (all its columns), _tokens and _q, thousandths for each domain."""
     shared = documents.sparkSession.sparkContext.broadcast(classifier)
-    names = documents.columns
-    at = names.index("text")
+    rows = packed(documents).select("_doc", of("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.posterior(t.as_py()) for t in b.column(at)]
+            found = [shared.value.posterior(t.as_py()) for t in b.column(1)]
             new = [pa.array([n for n, _ in found], pa.int64()), pa.array([q for _, q in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, "_tokens", "_q"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["_doc", "_tokens", "_q"])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields]).add("_tokens", "long").add("_q", T.ArrayType(T.IntegerType())))
+    return rows.mapInArrow(run, T.StructType([rows.schema["_doc"]]).add("_tokens", T.LongType()).add("_q", T.ArrayType(T.IntegerType())))
 
 
 def rate(q: Column, residuals: list[list[float]], pull: float = PULL) -> Column:
@@ -189,7 +188,7 @@ def solve(cells: DataFrame, targets: dict[str, float] | None = None, budget: flo
 
 
 def rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
-    """Per row of documents: all its columns, _tokens, _q, _rate and _copies.
+    """Per row of documents: _doc (all its columns), _tokens, _q, _rate and _copies.
 
     _copies is the rate rounded up or down, by chance that depends on id and
     text alone, so that it is right on average. A null or empty text has no
@@ -202,14 +201,16 @@ def rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     residuals = solve(cells, targets, budget)
     found = with_posteriors(documents, classifier)
     r = F.round(rate(F.col("_q"), residuals)["r"] if residuals else F.lit(1.0), 6)
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
+    chance = F.shiftrightunsigned(F.xxhash64(of("doc_id"), of("text")), 11) / F.lit(float(1 << 53))
     return found.withColumn("_rate", r).withColumn("_copies", F.floor(F.col("_rate") + chance).cast("bigint"))
 
 
 def mix(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents that stay, with rate, copies (how often each is to be read, at least once) and the posteriors."""
+    """documents that stay, with rate, copies (how often each is to be read, at least once) and the posteriors; a column that has such a name already gives way."""
     found = rates(documents, labels).where("_copies > 0")
-    return found.select(*documents.columns, F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *_named())
+    new = [F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *_named()]
+    taken = {"rate", "copies", *(f"p_{d}" for d in DOMAINS)}
+    return found.select(*[of(c).alias(c) for c in documents.columns if c.lower() not in taken], *new)
 
 
 def _named() -> list[Column]:
@@ -219,4 +220,4 @@ def _named() -> list[Column]:
 def summary(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of documents: doc_id, n_tokens, rate, copies and the posteriors."""
     found = rates(documents.select("doc_id", "text"), labels)
-    return found.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *_named())
+    return found.select(of("doc_id").alias("doc_id"), F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *_named())

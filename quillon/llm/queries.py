@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, lines, mixing, pii, sampling, secrets, simhash, substrings, urls
-from .common import sha256_hex, table
+from .common import of, sha256_hex, table
 
 
 def _joined(spans) -> "F.Column":
@@ -61,7 +61,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), sha256_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+    return found.select(of("doc_id").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), sha256_hex(F.coalesce("_text", F.lit(""))).alias("kept_sha256"))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

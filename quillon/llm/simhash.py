@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, small, stored
+from .common import NO_ID, of, packed, small, stored, unpacked
 from .components import components
 
 SEED = 42
@@ -107,8 +107,8 @@ def keys(prints: np.ndarray, ask: bool) -> tuple[np.ndarray, np.ndarray]:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints)], names=["doc_id", "tag", "fp"])
 
     return run
 
@@ -168,13 +168,13 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def classes(documents: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """Per row of documents: doc_id, fp (signed), component_id, n_links (of its fingerprint, to other ones).
+    """Per row of documents: doc_id, tag (a hash of the text), fp (signed), component_id, n_links (of its fingerprint, to other ones).
 
     Documents without words have fingerprint zero and link like any other.
     Repeated ids and texts give one row each. A null id is larger than all
     others: component_id is null only if all ids of the component are.
     """
-    docs = documents.select("doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    docs = documents.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, tag long, fp long")
     docs = stored(docs, "fingerprints")
     nodes = docs.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
     linked = stored(links(nodes.select("fp"), hot), "near")
@@ -187,7 +187,7 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> Dat
     named = named.select(F.col("fp").alias("nfp"), F.coalesce("least", "first").alias("component"), F.coalesce("n", F.lit(0)).alias("n_links"))
     out = docs.join(named, F.col("fp") == F.col("nfp"))
     component = F.when(F.col("component") != NO_ID, F.col("component"))
-    return out.select("doc_id", "fp", component.alias("component_id"), "n_links")
+    return out.select("doc_id", "tag", "fp", component.alias("component_id"), "n_links")
 
 
 def as_hex(fp: Column) -> Column:
@@ -195,8 +195,13 @@ def as_hex(fp: Column) -> Column:
 
 
 def dedup(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """documents with one row left of each component: that with the smallest id; among repeated ids, the smallest text, once."""
-    found = classes(documents, shingle).select("doc_id", "component_id").distinct()
-    first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_first"))
-    kept = documents.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """documents with one row left of each component: that of the smallest id; among rows that repeat the id, one text, once."""
+    found = classes(documents, shingle).where("doc_id <=> component_id")
+    kept = found.groupBy("component_id").agg(F.min("tag").alias("tag"), F.count("*").alias("n"))
+    kept = stored(kept.select(F.col("component_id").alias("_first"), F.col("tag").alias("_tag"), "n"), "kept")
+    repeated = kept.where("n > 1").limit(1).count()
+    mine = of("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64(of("text")) == F.col("_tag"))
+    rows = packed(documents).join(kept.select("_first", "_tag"), mine, "left_semi")
+    if repeated:  # rows that repeat id and text are told apart by nothing: any of them will do
+        rows = rows.withColumn("_id", of("doc_id")).dropDuplicates(["_id"])
+    return unpacked(rows, documents)

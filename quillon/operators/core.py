@@ -114,10 +114,17 @@ def split(ins: list[Value], ctx: Context):
     return out
 
 
+def _expr(ctx: Context) -> object:
+    """The attribute expr, which may be None: missing."""
+    if "expr" not in ctx.attrs:
+        raise GraphError("attribute expr is required")
+    return ctx.attrs["expr"]
+
+
 @operator("core", "Derive")
 def derive(ins: list[Value], ctx: Context):
     """An expression; if the first input is wide, once for each of its columns under the input's name."""
-    expr = ctx.need("expr")
+    expr = _expr(ctx)
     if not ins or ins[0].width == 1:
         return [compile_expr(expr, ctx.env, ctx.functions)]
     return [compile_expr(expr, dict(ctx.env) | {ctx.in_names[0]: c}, ctx.functions) for c in ins[0].cols]
@@ -274,4 +281,4 @@ def samme_vote(ins: list[Value], ctx: Context):
 @operator("functions", "Compute")
 def compute(ins: list[Value], ctx: Context):
     """An expression over all values, by name."""
-    return [compile_expr(ctx.need("expr"), ctx.env, ctx.functions)]
+    return [compile_expr(_expr(ctx), ctx.env, ctx.functions)]

@@ -7,8 +7,10 @@ Catalyst merges the projections and drops what no output needs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,22 +149,38 @@ def apply_graph(graph: Graph, df: DataFrame, outputs: list[str] | None = None, v
     return plan.df.select(*[named(c) for c in df.columns if c not in names], *made)
 
 
+RANGES = 200
+
+
 def reshape_rows(df: DataFrame, column: str, width: int, order: str, by: str | None = None) -> DataFrame:
     """An array column read on, row after row, and cut anew into arrays of width: (row, column).
 
-    The one reshaping that changes the number of rows. Rows follow order,
-    which must be unique, within each group of by; a row's place is found by
-    a running count. Without by, all rows are one sequence, which only a
-    single task can count: give by for large data. The last array may be short.
+    The one reshaping that changes the number of rows. Rows follow order, a
+    number that must be unique, within each group of by. Without by all rows
+    are one sequence: its places are counted range by range of order, and
+    only the ranges' sums, a fixed number, come to the driver. The last array
+    may be short.
     """
-    base = W.partitionBy(*([named(by)] if by else [])).orderBy(named(order))
-    before = F.coalesce(F.sum(F.size(named(column))).over(base.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    keep = [named(by).alias(by)] if by else []
-    flat = df.select(*keep, before.alias("_before"), F.posexplode(named(column)).alias("_i", "_v"))
-    flat = flat.select(*([named(by)] if by else []), (F.col("_before") + F.col("_i")).alias("_at"), "_v")
-    row = F.floor(F.col("_at") / width).cast("bigint").alias("row")
-    groups = flat.groupBy(*([named(by)] if by else []), row).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_x"))
-    return groups.select(*([named(by)] if by else []), "row", F.transform("_x", lambda x: x["_v"]).alias(column))
+    key = named(by) if by else F.lit(0)
+    rows = df.select(key.alias("_g"), named(order).alias("_o"), named(column).alias("_x")).where(F.size("_x") > 0)
+    ahead = F.lit(0).cast("bigint")
+    part = F.lit(0)
+    if not by:
+        rows = rows.withColumn("_d", F.col("_o").cast("double"))
+        bounds = sorted(set(rows.approxQuantile("_d", [i / RANGES for i in range(1, RANGES)], 0.1 / RANGES)))
+        if bounds:
+            rows = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_d", outputCol="_p").transform(rows)
+            part = F.col("_p")
+            upto, offsets = 0, []
+            for r in sorted(rows.groupBy("_p").agg(F.sum(F.size("_x")).alias("n")).collect()):
+                offsets += [F.lit(r["_p"]), F.lit(upto)]
+                upto += r["n"]
+            ahead = F.element_at(F.create_map(*offsets), part).cast("bigint") if offsets else ahead
+    before = W.partitionBy("_g", part).orderBy("_o").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.select("_g", "_x", (ahead + F.coalesce(F.sum(F.size("_x")).over(before), F.lit(0))).alias("_before"))
+    flat = rows.select("_g", "_before", F.posexplode("_x").alias("_i", "_v")).select("_g", (F.col("_before") + F.col("_i")).alias("_at"), "_v")
+    cut = flat.groupBy("_g", F.floor(F.col("_at") / width).cast("bigint").alias("row")).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_c"))
+    return cut.select(*([F.col("_g").alias(by)] if by else []), "row", F.transform("_c", lambda x: x["_v"]).alias(column))
 
 
 def to_sparse(column: Column) -> Column:

@@ -24,8 +24,8 @@ from ..functions.values import holds
 from ..operators.kernels import kernel
 from ..operators.registry import Context, Value, total
 
-#: Ensembles of more trees, or of a tree with more nodes, run as kernels.
-CASE_TREES, CASE_NODES = 30, 63
+#: Ensembles of more trees, or of a tree with more nodes, run as kernels: measured over 600,000 rows, eight trees of depth 4 take 3.5 s as CASE and 0.9 s as a kernel.
+CASE_TREES, CASE_NODES = 2, 31
 #: Tables of bit vectors may take so many bytes.
 TABLE_BYTES = 192 << 20
 LEAF = -1

@@ -87,7 +87,53 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
 FROM j GROUP BY doc_id
 """
 
+def _url_levels() -> str:
+    """The smoothed probabilities of grams of each length, from those of their suffixes."""
+    out = ["l1 AS (SELECT g, n, (a + 1.0) / (ca + 128.0) AS pa, (b + 1.0) / (cb + 128.0) AS pb, ln(((b + 1.0) / (cb + 128.0)) / ((a + 1.0) / (ca + 128.0))) AS d FROM base WHERE n = 1)"]
+    for n in range(2, 6):
+        out.append(
+            f"q{n} AS (SELECT base.g, base.n, s.pa AS qa, s.pb AS qb, (a + 4.0 * s.pa) / (ca + 4.0) AS pa, (b + 4.0 * s.pb) / (cb + 4.0) AS pb "
+            f"FROM base JOIN l{n - 1} s ON substr(base.g, 2) = s.g WHERE base.n = {n}), "
+            f"l{n} AS (SELECT g, n, pa, pb, ln(pb / pa) - ln(qb / qa) AS d FROM q{n})"
+        )
+    return ", ".join(out)
+
+
+def _url_grams(source: str, keep: str) -> str:
+    """Rows (keep, g, n) of the grams of column u."""
+    inner = f"SELECT {keep}, chr(2) || u || chr(3) AS m, unnest(range(2, length(u) + 3)) AS i FROM {source}"
+    return f"SELECT {keep}, substr(m, i - n + 1, n) AS g, n FROM (SELECT *, unnest(range(1, least(5, i) + 1)) AS n FROM ({inner}))"
+
+
+OP1 = rf"""
+WITH r AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+p AS (SELECT page_id, {LOWER.format('raw')} AS host, path, {LOWER.format('raw')} || substr(rest, length(raw) + 1) AS u FROM h),
+j AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p),
+v AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled, md5(u)[1] IN ('0', '1', '2') AS held FROM j),
+train AS (SELECT u, CAST(ruled = 'block' AS INT) AS bad FROM v WHERE ruled IS NOT NULL AND NOT held),
+counts AS (SELECT g, n, sum(bad) AS b, sum(1 - bad) AS a FROM ({_url_grams('train', 'bad')}) GROUP BY g, n),
+ctx AS (SELECT substr(g, 1, n - 1) AS c, n, sum(b) AS cb, sum(a) AS ca FROM counts GROUP BY ALL),
+base AS (SELECT g, counts.n, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(ca AS DOUBLE) AS ca, CAST(cb AS DOUBLE) AS cb FROM counts JOIN ctx ON substr(g, 1, counts.n - 1) = c AND counts.n = ctx.n),
+{_url_levels()},
+model AS (SELECT g, CAST(floor(d * 1000000 + 0.5) AS BIGINT) AS delta FROM ({' UNION ALL '.join(f'SELECT g, d FROM l{n}' for n in range(1, 6))})),
+urls AS (SELECT DISTINCT u FROM v WHERE u <> ''),
+scores AS (SELECT u, CAST(sum(coalesce(delta, 0)) AS DOUBLE) / 1000000.0 / (length(u) + 1) AS score FROM ({_url_grams('urls', 'u')}) LEFT JOIN model USING (g) GROUP BY u),
+held AS (SELECT floor(greatest(-10.0, least(10.0, score)) / 0.01) AS bin, CAST(ruled = 'block' AS INT) AS bad FROM v JOIN scores USING (u) WHERE ruled IS NOT NULL AND held),
+bins AS (SELECT bin, sum(bad) AS b, sum(1 - bad) AS a FROM held GROUP BY bin),
+cuts AS (SELECT bin, (SELECT sum(b) FROM bins) AS nb, (SELECT sum(a) FROM bins) AS na, coalesce(sum(b) OVER w, 0) AS below_b, coalesce(sum(a) OVER w, 0) AS below_a
+  FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT coalesce((SELECT bin * 0.01 FROM cuts WHERE nb > 0 AND na > 0 ORDER BY (nb - below_b) / nb + below_a / na DESC, bin LIMIT 1), 0.0) AS least)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (SELECT least FROM cut) THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN scores USING (u)
+"""
+
 ORACLES = {
+    "op1_urls": OP1,
     "op2_decontaminate": OP2,
     "op8_secrets": OP8,
     "op9_lines": OP9,

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, of, packed, stored, unpacked
+from .common import NO_ID, of, packed, small, stored, unpacked
 from .components import components
 from .simhash import codewords
 
@@ -131,34 +131,35 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     ask = stored(nodes.select("node", "short").mapInArrow(_keys(True), "key int, node long"), "asks")
     answer = nodes.select("node", "short").mapInArrow(_keys(False), "key int, node long")
     many = stored(ask.groupBy(F.col("key").alias("hk")).agg(F.count("*").alias("n")).where(F.col("n") > hot).select("hk"), "hot-keys")
-    anything = many.limit(1).count()
-    few = ask.join(F.broadcast(many), F.col("key") == F.col("hk"), "left_anti") if anything else ask
+    keys = many.count()
+    few = ask.join(small(many, keys, 16), F.col("key") == F.col("hk"), "left_anti") if keys else ask
     met = few.select(F.col("key").alias("k"), F.col("node").alias("x")).join(answer.select("key", F.col("node").alias("y")), F.col("k") == F.col("key"))
     pairs = met.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     found = _verified(pairs, nodes).where("ok").select("x", "y")
-    if not anything:
+    if not keys:
         return found
     # members of hot keys: those that answer to it, of whom some ask with it
     asking = ask.select(F.col("key").alias("ak"), F.col("node").alias("an"))
-    members = answer.join(F.broadcast(many), F.col("key") == F.col("hk"), "left_semi")
+    members = answer.join(small(many, keys, 16), F.col("key") == F.col("hk"), "left_semi")
     members = members.join(asking, (F.col("key") == F.col("ak")) & (F.col("node") == F.col("an")), "left").select("key", "node", F.col("an").isNotNull().alias("asks"))
     members = stored(members, "members")
     while True:
         rank = F.when(F.col("asks"), F.struct(F.xxhash64("node"), F.col("node")))
         leaders = members.groupBy(F.col("key").alias("lk")).agg(F.min(rank).alias("l")).where("l is not null").select("lk", F.col("l.node").alias("x"))
-        held = members.join(F.broadcast(leaders), F.col("key") == F.col("lk")).where("x <> node").select("key", "x", F.col("node").alias("y"), "asks")
+        held = members.join(small(leaders, keys, 32), F.col("key") == F.col("lk")).where("x <> node").select("key", "x", F.col("node").alias("y"), "asks")
         judged = stored(_verified(held, nodes), "judged")
         found = found.union(judged.where("ok").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
         rest = judged.where("not ok").select("key", F.col("y").alias("node"), "asks")
-        still = rest.groupBy(F.col("key").alias("hk")).agg(F.count(F.when(F.col("asks"), 1)).alias("n"))
-        small = rest.join(F.broadcast(still.where((F.col("n") > 0) & (F.col("n") <= hot)).select("hk")), F.col("key") == F.col("hk"), "left_semi")
-        a = small.where("asks").select(F.col("key").alias("k"), F.col("node").alias("x"))
-        b = small.select("key", F.col("node").alias("y"))
+        still = stored(rest.groupBy(F.col("key").alias("hk")).agg(F.count(F.when(F.col("asks"), 1)).alias("n")).where("n > 0"), "still")
+        few = rest.join(small(still.where(F.col("n") <= hot).select("hk"), keys, 16), F.col("key") == F.col("hk"), "left_semi")
+        a = few.where("asks").select(F.col("key").alias("k"), F.col("node").alias("x"))
+        b = few.select("key", F.col("node").alias("y"))
         pairs = a.join(b, F.col("k") == F.col("key")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         found = found.union(_verified(pairs, nodes).where("ok").select("x", "y"))
-        members = stored(rest.join(F.broadcast(still.where(F.col("n") > hot).select("hk")), F.col("key") == F.col("hk"), "left_semi"), "members")
-        if not members.limit(1).count():
+        keys = still.where(F.col("n") > hot).count()
+        if not keys:
             return found.distinct()
+        members = stored(rest.join(small(still.where(F.col("n") > hot).select("hk"), keys, 16), F.col("key") == F.col("hk"), "left_semi"), "members")
 
 
 def groups(documents: DataFrame, hot: int = HOT) -> DataFrame:

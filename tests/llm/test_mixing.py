@@ -23,7 +23,7 @@ def test_rates_against_brute_force(spark):
     t = rng.integers(1, 500, 40)
     cells = spark.createDataFrame([(x.tolist(), int(n)) for x, n in zip(q, t)], "_q array<int>, tokens long")
     targets = {"good": 0.6, "poor": 0.3, "toxic": 0.1}
-    residuals = mixing.solve(cells, targets, steps=400)
+    residuals = mixing.solve(cells, targets, steps=120)
     from pyspark.sql import functions as F
 
     rows = cells.withColumn("r", mixing.rate(F.col("_q"), residuals)["r"]).collect()

@@ -11,9 +11,9 @@ that (such pairs differ in 8 bits of 64 in the median), so
 * a pair is verified by 256-bit fingerprints of the shingles, whose share of
   differing bits is the angle between the shingle sets.
 
-Equal texts are one node. Where many texts ask with one key, all its members
-are held against one of them, the leader, and only those that are not its
-copies go on to the next leader: no group's pairs are written out.
+Equal texts are one node. Where a key has many members, all are held against
+one of them, the leader, and only those that are not its copies go on to the
+next leader: no group's pairs are written out.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ SKETCH = 256
 #: Bits that may differ: what the similarity's angle makes expect, and half a standard deviation more.
 _ANGLE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 MAX_BITS = round(SKETCH * _ANGLE + 0.5 * math.sqrt(SKETCH * _ANGLE * (1 - _ANGLE)))
-#: With more texts asking, a key's members go by leaders.
-HOT = 32
+#: A key with more members goes by leaders.
+HOT = 16
 _SEEDS = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,43 +123,37 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     """(x, y): near copies among nodes (node, short, long), enough of them to connect all that a key brings together.
 
-    Keys that up to hot nodes ask with give all their pairs. In another key
-    every member is held against the leader, the asking node of the smallest
-    hash; those that differ from it form the key's next, smaller group, until
-    no group is hot.
+    A key's members are the nodes that answer to it, if any asks with it.
+    Keys of up to hot members give the pairs of those that ask with all
+    members. In another key every member is held against the leader, the
+    asking one of the smallest hash; those that differ from it are the key's
+    members in the next round, until no key is hot.
     """
     ask = stored(nodes.select("node", "short").mapInArrow(_keys(True), "key int, node long"), "asks")
     answer = nodes.select("node", "short").mapInArrow(_keys(False), "key int, node long")
-    many = stored(ask.groupBy(F.col("key").alias("hk")).agg(F.count("*").alias("n")).where(F.col("n") > hot).select("hk"), "hot-keys")
-    keys = many.count()
-    few = ask.join(small(many, keys, 16), F.col("key") == F.col("hk"), "left_anti") if keys else ask
-    met = few.select(F.col("key").alias("k"), F.col("node").alias("x")).join(answer.select("key", F.col("node").alias("y")), F.col("k") == F.col("key"))
-    pairs = met.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    found = _verified(pairs, nodes).where("ok").select("x", "y")
-    if not keys:
-        return found
-    # members of hot keys: those that answer to it, of whom some ask with it
-    asking = ask.select(F.col("key").alias("ak"), F.col("node").alias("an"))
-    members = answer.join(small(many, keys, 16), F.col("key") == F.col("hk"), "left_semi")
-    members = members.join(asking, (F.col("key") == F.col("ak")) & (F.col("node") == F.col("an")), "left").select("key", "node", F.col("an").isNotNull().alias("asks"))
-    members = stored(members, "members")
+    members = answer.join(ask.select(F.col("key").alias("k")).distinct(), F.col("key") == F.col("k"), "left_semi")
+    asking = ask.select(F.col("key").alias("k"), F.col("node").alias("n"))
+    members = members.join(asking, (F.col("key") == F.col("k")) & (F.col("node") == F.col("n")), "left")
+    members = stored(members.select("key", "node", F.col("n").isNotNull().alias("asks")), "members")
+    found = None
     while True:
         rank = F.when(F.col("asks"), F.struct(F.xxhash64("node"), F.col("node")))
-        leaders = members.groupBy(F.col("key").alias("lk")).agg(F.min(rank).alias("l")).where("l is not null").select("lk", F.col("l.node").alias("x"))
-        held = members.join(small(leaders, keys, 32), F.col("key") == F.col("lk")).where("x <> node").select("key", "x", F.col("node").alias("y"), "asks")
+        keys = members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1 and first is not null")
+        keys = stored(keys.select("k", "n", F.col("first.node").alias("x")), "keys")
+        many = keys.where(F.col("n") > hot).count()
+
+        few = stored(members.join(keys.where(F.col("n") <= hot).select("k"), F.col("key") == F.col("k"), "left_semi"), "few")
+        pairs = few.where("asks").select(F.col("key").alias("k"), F.col("node").alias("x")).join(few.select("key", F.col("node").alias("y")), F.col("k") == F.col("key"))
+        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        new = _verified(pairs, nodes).where("ok").select("x", "y")
+        found = new if found is None else found.union(new)
+        if not many:
+            return found.distinct()
+        leaders = small(keys.where(F.col("n") > hot).select("k", "x"), many, 48)
+        held = members.join(leaders, F.col("key") == F.col("k")).where("x <> node").select("key", "x", F.col("node").alias("y"), "asks")
         judged = stored(_verified(held, nodes), "judged")
         found = found.union(judged.where("ok").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        rest = judged.where("not ok").select("key", F.col("y").alias("node"), "asks")
-        still = stored(rest.groupBy(F.col("key").alias("hk")).agg(F.count(F.when(F.col("asks"), 1)).alias("n")).where("n > 0"), "still")
-        few = rest.join(small(still.where(F.col("n") <= hot).select("hk"), keys, 16), F.col("key") == F.col("hk"), "left_semi")
-        a = few.where("asks").select(F.col("key").alias("k"), F.col("node").alias("x"))
-        b = few.select("key", F.col("node").alias("y"))
-        pairs = a.join(b, F.col("k") == F.col("key")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        found = found.union(_verified(pairs, nodes).where("ok").select("x", "y"))
-        keys = still.where(F.col("n") > hot).count()
-        if not keys:
-            return found.distinct()
-        members = stored(rest.join(small(still.where(F.col("n") > hot).select("hk"), keys, 16), F.col("key") == F.col("hk"), "left_semi"), "members")
+        members = judged.where("not ok").select("key", F.col("y").alias("node"), "asks")
 
 
 def groups(documents: DataFrame, hot: int = HOT) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import of, packed, stored
+from .common import of, packed, small, stored
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the token budget.
@@ -36,7 +36,7 @@ LEXICON, LEAST = 100, 5
 GRID = 1000
 #: Pull of the rates to one, against the squared misses of the targets' shares.
 PULL = 1e-3
-STEPS = 80
+STEPS, KEEP = 80, 10
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,'-")
@@ -152,72 +152,88 @@ def with_posteriors(documents: DataFrame, classifier: Classifier) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["_doc"]]).add("_tokens", T.LongType()).add("_q", T.ArrayType(T.IntegerType())))
 
 
-def rate(q: Column, residuals: list[list[float]], pull: float = PULL) -> Column:
-    """The rate that accelerated projected steps along the residuals give to posteriors q, from one on; six decimals."""
-    if not residuals:
-        return F.lit(1.0)
-    step, t, moves = 1 / (1 + pull), 1.0, []
-    for e in residuals:
-        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        moves.append([*e, (t - 1) / after])
-        t = after
-    plan = F.array(*[F.array(*map(F.lit, map(float, m))) for m in moves])
+def _moved(q: Column, r: Column, look: Column, moves: list[list[float]], pull: float = PULL) -> Column:
+    """(r, look) after moves: each holds a step's misses by domain, and the momentum that follows it."""
+    start = F.struct(r.alias("r"), look.alias("look"))
+    if not moves:
+        return start
+    plan, step = F.array(*[F.array(*map(F.lit, m)) for m in moves]), 1 / (1 + pull)
 
     def move(s: Column, m: Column) -> Column:
         slope = sum((F.get(m, F.lit(d)) * F.get(q, F.lit(d)) / GRID for d in range(len(DOMAINS))), F.lit(0.0))
         new = F.greatest(F.lit(0.0), s["look"] - step * (slope + pull * (s["look"] - 1)))
         return F.struct(new.alias("r"), (new + F.get(m, F.lit(len(DOMAINS))) * (new - s["r"])).alias("look"))
 
-    return F.aggregate(plan, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("look")), move, lambda s: s)
+    return F.aggregate(plan, start, move, lambda s: s)
 
 
-def solve(cells: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, steps: int = STEPS) -> list[list[float]]:
-    """Residuals of each step, from cells (_q, tokens). Each step is one aggregation that returns one row."""
+def solve(cells: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, steps: int = STEPS) -> DataFrame:
+    """(_q, rate) of cells (_q, tokens): accelerated projected steps from rates of one on, rounded to six decimals.
+
+    Each step is one aggregation that returns one row, the misses of the
+    targets' shares. The cells' state is written every KEEP steps, so that a
+    step works off the few moves since.
+    """
     want = [budget * (targets or TARGETS)[d] for d in DOMAINS]
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    residuals: list[list[float]] = []
-    for _ in range(steps if total else 0):
-        look = rate(F.col("_q"), residuals)["look"] if residuals else F.lit(1.0)
-        now = cells.select("tokens", "_q", look.alias("l")).agg(*[F.sum(F.col("tokens") * F.col("l") * F.get("_q", F.lit(d))).alias(f"s{d}") for d in range(len(DOMAINS))]).first()
-        miss = [now[d] / GRID / total - want[d] for d in range(len(DOMAINS))]
-        done = bool(residuals) and max(abs(a - b) for a, b in zip(miss, residuals[-1])) < 1e-7
-        residuals.append(miss)
-        if done:
+    state = cells.select("_q", "tokens", F.lit(1.0).alias("r"), F.lit(1.0).alias("look"))
+    moves: list[list[float]] = []
+    t, last = 1.0, None
+    for step in range(steps if total else 0):
+        if len(moves) == KEEP:
+            now = state.select("_q", "tokens", _moved(F.col("_q"), F.col("r"), F.col("look"), moves).alias("s"))
+            state, moves = stored(now.select("_q", "tokens", "s.r", "s.look"), "rates"), []
+        look = _moved(F.col("_q"), F.col("r"), F.col("look"), moves)["look"]
+        sums = state.select("tokens", "_q", look.alias("l")).agg(*[F.sum(F.col("tokens") * F.col("l") * F.get("_q", F.lit(d))) for d in range(len(DOMAINS))]).first()
+        miss = [x / GRID / total - w for x, w in zip(sums, want)]
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        moves.append([*miss, (t - 1) / after])
+        t = after
+        if last and max(abs(a - b) for a, b in zip(miss, last)) < 1e-6:
             break
-    return residuals
+        last = miss
+    return state.select("_q", F.round(_moved(F.col("_q"), F.col("r"), F.col("look"), moves)["r"], 6).alias("rate"))
+
 
+def _rated(found: DataFrame, rates: DataFrame) -> DataFrame:
+    """found (_q, _chance and more) with _rate and _copies."""
+    known = small(rates.select(F.col("_q").alias("_rq"), F.col("rate").alias("_rate")), rates.count(), 96)
+    met = found.join(known, F.col("_q") == F.col("_rq"))
+    return met.withColumn("_copies", F.floor(F.col("_rate") + F.col("_chance")).cast("bigint")).drop("_rq")
 
-def rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
-    """Per row of documents: _doc (all its columns), _tokens, _q, _rate and _copies.
 
-    _copies is the rate rounded up or down, by chance that depends on id and
-    text alone, so that it is right on average. A null or empty text has no
-    tokens and moves no total. Without labels all domains are alike; without
-    tokens all rates are one.
+def _chance(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) that depends on id and text alone."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text), 11) / F.lit(float(1 << 53))
+
+
+def _cells(lean: DataFrame) -> DataFrame:
+    return stored(lean.groupBy("_q").agg(F.sum("_tokens").alias("tokens")).coalesce(4), "cells")
+
+
+def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
+    """documents that stay, with rate, copies (how often each is to be read, at least once) and the posteriors; a column that has such a name already gives way.
+
+    copies is the rate rounded up or down by chance, so that it is right on
+    average. A null or empty text has no tokens and moves no total. Without
+    labels all domains are alike; without tokens all rates are one.
     """
     classifier = fit(documents, labels)
-    lean = with_posteriors(documents.select("text"), classifier).select("_tokens", "_q")
-    cells = stored(lean.groupBy("_q").agg(F.sum("_tokens").alias("tokens")).coalesce(4), "cells")
-    residuals = solve(cells, targets, budget)
-    found = with_posteriors(documents, classifier)
-    r = F.round(rate(F.col("_q"), residuals)["r"] if residuals else F.lit(1.0), 6)
-    chance = F.shiftrightunsigned(F.xxhash64(of("doc_id"), of("text")), 11) / F.lit(float(1 << 53))
-    return found.withColumn("_rate", r).withColumn("_copies", F.floor(F.col("_rate") + chance).cast("bigint"))
-
-
-def mix(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents that stay, with rate, copies (how often each is to be read, at least once) and the posteriors; a column that has such a name already gives way."""
-    found = rates(documents, labels).where("_copies > 0")
+    rates = stored(solve(_cells(with_posteriors(documents.select("text"), classifier).select("_tokens", "_q")), targets, budget), "rates")
+    found = with_posteriors(documents, classifier).withColumn("_chance", _chance(of("doc_id"), of("text")))
     new = [F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *_named()]
     taken = {"rate", "copies", *(f"p_{d}" for d in DOMAINS)}
-    return found.select(*[of(c).alias(c) for c in documents.columns if c.lower() not in taken], *new)
+    return _rated(found, rates).where("_copies > 0").select(*[of(c).alias(c) for c in documents.columns if c.lower() not in taken], *new)
 
 
 def _named() -> list[Column]:
     return [(F.get("_q", F.lit(d)) / GRID).alias(f"p_{name}") for d, name in enumerate(DOMAINS)]
 
 
-def summary(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row of documents: doc_id, n_tokens, rate, copies and the posteriors."""
-    found = rates(documents.select("doc_id", "text"), labels)
-    return found.select(of("doc_id").alias("doc_id"), F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *_named())
+def summary(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
+    """Per row of documents: doc_id, n_tokens, rate, copies and the posteriors, as :func:`mix` has them. Texts are read once after the fit."""
+    classifier = fit(documents, labels)
+    found = with_posteriors(documents.select("doc_id", "text"), classifier)
+    found = stored(found.select(of("doc_id").alias("doc_id"), _chance(of("doc_id"), of("text")).alias("_chance"), "_tokens", "_q"), "posteriors")
+    rates = stored(solve(_cells(found.select("_tokens", "_q")), targets, budget), "rates")
+    return _rated(found, rates).select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *_named())

@@ -23,11 +23,7 @@ def test_rates_against_brute_force(spark):
     t = rng.integers(1, 500, 40)
     cells = spark.createDataFrame([(x.tolist(), int(n)) for x, n in zip(q, t)], "_q array<int>, tokens long")
     targets = {"good": 0.6, "poor": 0.3, "toxic": 0.1}
-    residuals = mixing.solve(cells, targets, steps=120)
-    from pyspark.sql import functions as F
-
-    rows = cells.withColumn("r", mixing.rate(F.col("_q"), residuals)["r"]).collect()
-    got = {tuple(r._q): r.r for r in rows}
+    got = {tuple(r._q): r.rate for r in mixing.solve(cells, targets, steps=120).collect()}
     want = best(q / 1000, t.astype(float), np.array([0.6, 0.3, 0.1]))
     have = np.array([got[tuple(x)] for x in q.tolist()])
     total = lambda r: (t[:, None] * r[:, None] * q / 1000).sum(axis=0) / t.sum()

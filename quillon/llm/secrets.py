@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _remove, sha256_hex
+from .common import _remove, sha256_hex, stored
 
 
 @dataclass(frozen=True)
@@ -114,6 +114,7 @@ def spans_by_path(documents: DataFrame, findings: DataFrame, rules: tuple[Rule,
     by_blob = findings.groupBy(F.col("blob_id").alias("_b")).agg(
         F.array_sort(F.collect_list(F.struct("start", F.element_at(order, F.col("kind")).alias("rank"), "kind", "end"))).alias("spans")
     )
+    by_blob = stored(by_blob, "spans")  # so that the rows of a hot blob can be split in the join
     paths = addressed(documents).select("doc_id", "blob_id")
     nothing = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return paths.join(by_blob, F.col("blob_id") == F.col("_b"), "left").select("doc_id", "blob_id", F.coalesce("spans", nothing).alias("spans"))

@@ -185,7 +185,8 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> Dat
     rooted = rooted.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("lfp"), "least")
     named = nodes.join(rooted, F.col("fp") == F.col("lfp"), "left").join(degree, F.col("fp") == F.col("dfp"), "left")
     named = named.select(F.col("fp").alias("nfp"), F.coalesce("least", "first").alias("component"), F.coalesce("n", F.lit(0)).alias("n_links"))
-    out = docs.join(named, F.col("fp") == F.col("nfp"))
+    # stored, so that the join's two sides are dealt out apart from what made them, and a hot fingerprint's rows can be split
+    out = docs.join(stored(named, "named"), F.col("fp") == F.col("nfp"))
     component = F.when(F.col("component") != NO_ID, F.col("component"))
     return out.select("doc_id", "tag", "fp", component.alias("component_id"), "n_links")
 

@@ -149,6 +149,7 @@ def intervals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     run = _window_rows(window)
     rows = named.mapInArrow(lambda batches: _merged(run(batches)), "hash long, id long, at long")
     first = rows.groupBy(F.col("hash").alias("h")).agg(F.min("id").alias("f"), F.max("id").alias("l")).where("f < l").select("h", "f")
+    first = stored(first, "repeated")  # so that the rows of a hot window can be split in the join
     again = rows.join(first, F.col("hash") == F.col("h")).where("id > f")
     again = again.select("id", F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"))
     found = again.groupBy("id", "tag").agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most the words of one text

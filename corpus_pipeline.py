@@ -1,8 +1,8 @@
 """A corpus from documents to a mix, in five stages that each read what the one before kept.
 
 language ID: documents without a known language go. Line dedup: lines on many
-sites go, but for their first occurrence. SimHash near-dedup: one document of
-each group of near copies stays. Decontamination: documents with windows of
+sites go, but for their first occurrence. Near-dedup: one document of each
+group of near copies (five-word shingles, Jaccard 0.8 or more) stays. Decontamination: documents with windows of
 two or more benchmark items go, and the words of a single item's windows are
 cut. Mixing: documents get rates that meet the target weights; those with no
 copy to be read go.
@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, langid, lines, mixing, simhash
+from quillon.llm import decontaminate, langid, lines, mixing, nearcopies
 from quillon.llm.common import stored, table
 
 
@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs)
+    return nearcopies.dedup(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

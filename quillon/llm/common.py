@@ -91,3 +91,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df, to be broadcast if its counted rows times row_bytes stay under BROADCAST_BYTES; else Spark joins by shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """documents with one row left for each root of found (id, tag, root): the smallest id's, and of its texts the one of the smallest hash.
+
+    id is doc_id with NO_ID for null, tag the text's xxhash64. Rows that repeat
+    id and text are told apart by nothing: any of them will do.
+    """
+    first = found.groupBy("root").agg(F.min(F.struct("id", "tag")).alias("f"))
+    kept = stored(first.select(F.col("f.id").alias("_id"), F.col("f.tag").alias("_tag")), "kept")
+    own, tag = F.coalesce(of("doc_id"), F.lit(NO_ID)), F.xxhash64(of("text"))
+    rows = packed(documents).join(kept, (own == F.col("_id")) & (tag == F.col("_tag")), "left_semi")
+    if found.groupBy("id", "tag").count().where("count > 1").limit(1).count():
+        rows = rows.withColumn("_i", own).withColumn("_t", tag).dropDuplicates(["_i", "_t"])
+    return unpacked(rows, documents)

@@ -4,8 +4,8 @@ language ID: documents without a known language go. Line dedup: lines on many
 sites go, but for their first occurrence. Near-dedup: one document of each
 group of near copies (five-word shingles, Jaccard 0.8 or more) stays. Decontamination: documents with windows of
 two or more benchmark items go, and the words of a single item's windows are
-cut. Mixing: documents get rates that meet the target weights; those with no
-copy to be read go.
+cut. Mixing: documents get rates that meet the target weights, one or more for
+clean ones; those with a rate of zero go.
 """
 
 from __future__ import annotations

@@ -152,7 +152,7 @@ def with_posteriors(documents: DataFrame, classifier: Classifier) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["_doc"]]).add("_tokens", T.LongType()).add("_q", T.ArrayType(T.IntegerType())))
 
 
-def _moved(q: Column, r: Column, look: Column, moves: list[list[float]], pull: float = PULL) -> Column:
+def _moved(q: Column, r: Column, look: Column, moves: list[list[float]], pull: float = PULL, least: Column | None = None) -> Column:
     """(r, look) after moves: each holds a step's misses by domain, and the momentum that follows it."""
     start = F.struct(r.alias("r"), look.alias("look"))
     if not moves:
@@ -161,18 +161,18 @@ def _moved(q: Column, r: Column, look: Column, moves: list[list[float]], pull: f
 
     def move(s: Column, m: Column) -> Column:
         slope = sum((F.get(m, F.lit(d)) * F.get(q, F.lit(d)) / GRID for d in range(len(DOMAINS))), F.lit(0.0))
-        new = F.greatest(F.lit(0.0), s["look"] - step * (slope + pull * (s["look"] - 1)))
+        new = F.greatest(F.lit(0.0) if least is None else least, s["look"] - step * (slope + pull * (s["look"] - 1)))
         return F.struct(new.alias("r"), (new + F.get(m, F.lit(len(DOMAINS))) * (new - s["r"])).alias("look"))
 
     return F.aggregate(plan, start, move, lambda s: s)
 
 
-def solve(cells: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, steps: int = STEPS) -> DataFrame:
+def solve(cells: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, steps: int = STEPS, least: Column | None = None) -> DataFrame:
     """(_q, rate) of cells (_q, tokens): accelerated projected steps from rates of one on, rounded to six decimals.
 
     Each step is one aggregation that returns one row, the misses of the
     targets' shares. The cells' state is written every KEEP steps, so that a
-    step works off the few moves since.
+    step works off the few moves since. No rate falls below least, if given, or zero.
     """
     want = [budget * (targets or TARGETS)[d] for d in DOMAINS]
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -181,9 +181,9 @@ def solve(cells: DataFrame, targets: dict[str, float] | None = None, budget: flo
     t, last = 1.0, None
     for step in range(steps if total else 0):
         if len(moves) == KEEP:
-            now = state.select("_q", "tokens", _moved(F.col("_q"), F.col("r"), F.col("look"), moves).alias("s"))
+            now = state.select("_q", "tokens", _moved(F.col("_q"), F.col("r"), F.col("look"), moves, least=least).alias("s"))
             state, moves = stored(now.select("_q", "tokens", "s.r", "s.look"), "rates"), []
-        look = _moved(F.col("_q"), F.col("r"), F.col("look"), moves)["look"]
+        look = _moved(F.col("_q"), F.col("r"), F.col("look"), moves, least=least)["look"]
         sums = state.select("tokens", "_q", look.alias("l")).agg(*[F.sum(F.col("tokens") * F.col("l") * F.get("_q", F.lit(d))) for d in range(len(DOMAINS))]).first()
         miss = [x / GRID / total - w for x, w in zip(sums, want)]
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -192,7 +192,7 @@ def solve(cells: DataFrame, targets: dict[str, float] | None = None, budget: flo
         if last and max(abs(a - b) for a, b in zip(miss, last)) < 1e-6:
             break
         last = miss
-    return state.select("_q", F.round(_moved(F.col("_q"), F.col("r"), F.col("look"), moves)["r"], 6).alias("rate"))
+    return state.select("_q", F.round(_moved(F.col("_q"), F.col("r"), F.col("look"), moves, least=least)["r"], 6).alias("rate"))
 
 
 def _rated(found: DataFrame, rates: DataFrame) -> DataFrame:
@@ -211,19 +211,36 @@ def _cells(lean: DataFrame) -> DataFrame:
     return stored(lean.groupBy("_q").agg(F.sum("_tokens").alias("tokens")).coalesce(4), "cells")
 
 
-def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
-    """documents that stay, with rate, copies (how often each is to be read, at least once) and the posteriors; a column that has such a name already gives way.
+def _clean(q: Column) -> Column:
+    """Whether no other domain is likelier than the first one, the clean one."""
+    return F.get(q, F.lit(0)) >= F.array_max(q)
 
+
+def _least_budget(cells: DataFrame, targets: dict[str, float] | None) -> float:
+    """The smallest budget, one at least, in which clean documents read once leave each domain within its target."""
+    sums = cells.agg(F.sum("tokens"), *[F.sum(F.when(_clean(F.col("_q")), F.col("tokens") * F.get("_q", F.lit(d)))) for d in range(len(DOMAINS))]).first()
+    want = [(targets or TARGETS)[d] for d in DOMAINS]
+    return max([1.0, *((x or 0) / GRID / sums[0] / w for x, w in zip(sums[1:], want) if sums[0] and w > 0)])
+
+
+def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
+    """documents with a rate above zero, with rate, copies (how often each is to be read) and the posteriors; a column that has such a name already gives way.
+
+    Documents that are likeliest clean have rates of one or more, whatever the
+    budget; without one, it is the smallest that lets the targets be met so.
     copies is the rate rounded up or down by chance, so that it is right on
-    average. A null or empty text has no tokens and moves no total. Without
-    labels all domains are alike; without tokens all rates are one.
+    average; it can be zero where the rate is below one. A null or empty text
+    has no tokens and moves no total. Without labels all domains are alike;
+    without tokens all rates are one.
     """
     classifier = fit(documents, labels)
-    rates = stored(solve(_cells(with_posteriors(documents.select("text"), classifier).select("_tokens", "_q")), targets, budget), "rates")
+    cells = _cells(with_posteriors(documents.select("text"), classifier).select("_tokens", "_q"))
+    least = F.when(_clean(F.col("_q")), F.lit(1.0)).otherwise(F.lit(0.0))
+    rates = stored(solve(cells, targets, _least_budget(cells, targets) if budget is None else budget, least=least), "rates")
     found = with_posteriors(documents, classifier).withColumn("_chance", _chance(of("doc_id"), of("text")))
     new = [F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *_named()]
     taken = {"rate", "copies", *(f"p_{d}" for d in DOMAINS)}
-    return _rated(found, rates).where("_copies > 0").select(*[of(c).alias(c) for c in documents.columns if c.lower() not in taken], *new)
+    return _rated(found, rates).where("_rate > 0").select(*[of(c).alias(c) for c in documents.columns if c.lower() not in taken], *new)
 
 
 def _named() -> list[Column]:

@@ -50,3 +50,18 @@ def test_odd_rows(spark, odd):
     assert mixing.summary(odd, labels.limit(0)).count() == odd.count()
     assert mixing.summary(odd.limit(0), labels).count() == 0
     assert set(odd.columns) <= set(mixing.mix(odd, labels).columns)
+
+
+def test_documents_labelled_good_stay_in_the_mix(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    rows = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality and not r.toxic} & {r.doc_id for r in docs.select("doc_id").collect()}
+    assert len(good - rows.keys()) <= 0.01 * len(good)  # what the classifier takes for toxic
+    assert all(r.rate > 0 for r in rows.values())
+    clean = [r for r in rows.values() if r.p_good >= max(r.p_poor, r.p_toxic)]
+    assert len(clean) >= 0.98 * len(good) and all(r.rate >= 1 and r.copies >= 1 for r in clean)
+    # the targets' shares are met all the same
+    total = {d: sum(r.rate * len(r.text or "") * r[f"p_{d}"] for r in rows.values()) for d in mixing.DOMAINS}
+    print({d: x / sum(total.values()) for d, x in total.items()}, len(good - rows.keys()), len(good), len(rows), max(r.rate for r in rows.values()))
+    for d in mixing.DOMAINS:
+        assert total[d] / sum(total.values()) == pytest.approx(mixing.TARGETS[d], abs=0.03)

@@ -151,8 +151,8 @@ def ball_links(prints: DataFrame) -> DataFrame:
     return far.join(near, F.col("point") == F.col("p")).where("x <> fp").select("x", F.col("fp").alias("y")).distinct()
 
 
-def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """(x, y) among distinct fingerprints (fp): all links but those that only hot keys show, for which ball_links stands in."""
+def _met(prints: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """(x, y): all links among distinct fingerprints (fp) but those that only hot keys show; the hot keys' members (fp), if there are any."""
     ask = prints.mapInArrow(_keys(True), "key int, fp long")
     answer = prints.mapInArrow(_keys(False), "key int, fp long")
     many = stored(ask.groupBy(F.col("key").alias("hot")).count().where(F.col("count") > hot).select("hot"), "hot-keys")
@@ -160,11 +160,42 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     met = ask.select(F.col("key").alias("k"), F.col("fp").alias("x")).join(answer, F.col("k") == F.col("key"))
     met = met.where((F.col("x") < F.col("fp")) | (F.col("x") > F.col("fp"))).where(F.bit_count(F.col("x").bitwiseXOR(F.col("fp"))) <= MAX_BITS)
     if not n:
-        return met.select("x", F.col("fp").alias("y")).distinct()
+        return met.select("x", F.col("fp").alias("y")).distinct(), None
     rare = ask.join(small(many, n, 16), F.col("key") == F.col("hot"), "left_anti").select(F.col("key").alias("k"), F.col("fp").alias("x"))
     met = rare.join(answer, F.col("k") == F.col("key")).where("x <> fp").where(F.bit_count(F.col("x").bitwiseXOR(F.col("fp"))) <= MAX_BITS)
     members = stored(answer.join(small(many, n, 16), F.col("key") == F.col("hot"), "left_semi").select("fp").distinct(), "hot-members")
-    return met.select("x", F.col("fp").alias("y")).union(ball_links(members)).distinct()
+    return stored(met.select("x", F.col("fp").alias("y")).distinct(), "met"), members
+
+
+def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """(x, y) among distinct fingerprints (fp): all links but those that only hot keys show, for which ball_links stands in."""
+    met, members = _met(prints, hot)
+    return met if members is None else met.union(ball_links(members)).distinct()
+
+
+def _counted(members: DataFrame) -> DataFrame:
+    """(dfp, n): the number of links of each of members (fp) to others of them, without making pairs.
+
+    Within one bit of x and two of y lie 65 points if x and y are equal or
+    differ in one bit, three if they differ in two or three, none beyond. The
+    points at one bit of y that are x itself count those that differ in one.
+    """
+    near = members.mapInArrow(_ball((0, 1)), "point long, fp long")
+    one = members.mapInArrow(_ball((1,)), "point long, fp long").groupBy(F.col("point").alias("p1")).agg(F.count("*").alias("one"))
+    two = members.mapInArrow(_ball((0, 1, 2)), "point long, fp long").groupBy(F.col("point").alias("p2")).agg(F.count("*").alias("c"))
+    points = near.join(two, F.col("point") == F.col("p2")).groupBy(F.col("fp").alias("dfp")).agg(F.sum("c").alias("s"))
+    met = points.join(one, F.col("dfp") == F.col("p1"), "left").withColumn("one", F.coalesce("one", F.lit(0)))
+    return met.select("dfp", (F.col("one") + ((F.col("s") - 65 - 65 * F.col("one")) / 3)).cast("bigint").alias("n"))
+
+
+def degrees(met: DataFrame, members: DataFrame | None) -> DataFrame:
+    """(dfp, n): the number of links of each fingerprint that has any, from what :func:`_met` gives."""
+    both = met.union(met.select("y", "x")).distinct()
+    if members is None:
+        return both.groupBy(F.col("x").alias("dfp")).agg(F.count("*").alias("n"))
+    ends = both.join(members.select(F.col("fp").alias("mx")), F.col("x") == F.col("mx"), "left").join(members.select(F.col("fp").alias("my")), F.col("y") == F.col("my"), "left")
+    outer = ends.where("mx is null or my is null").groupBy(F.col("x").alias("dfp")).agg(F.count("*").alias("n"))
+    return outer.union(_counted(members)).groupBy("dfp").agg(F.sum("n").alias("n"))
 
 
 def classes(documents: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
@@ -177,8 +208,9 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> Dat
     docs = documents.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, tag long, fp long")
     docs = stored(docs, "fingerprints")
     nodes = docs.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
-    linked = stored(links(nodes.select("fp"), hot), "near")
-    degree = linked.union(linked.select("y", "x")).distinct().groupBy(F.col("x").alias("dfp")).agg(F.count("*").alias("n"))
+    met, members = _met(nodes.select("fp"), hot)
+    linked = stored(met if members is None else met.union(ball_links(members)).distinct(), "near")
+    degree = degrees(linked if members is None else met, members)
     roots = components(linked)
     rooted = nodes.join(roots, F.col("fp") == F.col("node"))
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least"))

@@ -93,3 +93,21 @@ def test_edges(spark):
     kept = simhash.dedup(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5] and kept.columns == docs.columns
     assert simhash.classes(docs.limit(0)).count() == 0
+
+
+def test_hot_keys_count_every_link(spark):
+    rnd = random.Random(4)
+    prints = {rnd.getrandbits(64) for _ in range(2)}
+    while len(prints) < 120:
+        x = rnd.choice(sorted(prints))
+        for b in rnd.sample(range(64), rnd.randint(1, 4)):
+            x ^= 1 << b
+        prints.add(x)
+    p = np.array(sorted(prints), dtype=np.uint64)
+    want = dict(zip(p.view(np.int64).tolist(), ((np.bitwise_count(p[:, None] ^ p[None, :]) <= 3).sum(axis=1) - 1).tolist()))
+    frame = spark.createDataFrame([(x,) for x in want], "fp long")
+    for hot in (2, 10, 10_000):
+        met, members = simhash._met(frame, hot)
+        assert (members is None) == (hot == 10_000)
+        got = {r.dfp: r.n for r in simhash.degrees(met, members).collect()}
+        assert {x: got.get(x, 0) for x in want} == want, hot

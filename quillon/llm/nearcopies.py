@@ -1,15 +1,19 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found without loss.
-
-Texts with equal sets are one node. Two sets of that similarity share four
-fifths of the larger one, so in any one order of all shingles some shingle is
-among the first fifth (and one more) of both. Each node's first fifth are its
-keys; nodes that share a key are candidates and are verified on whole sets.
-
-The order puts shingles that a sample of the nodes shows to be common last, so
-that they are keys only of nodes that hold little else. Which shingles count as
-common changes the cost, never the result.
-
-In a key with many members all are held against a few leaders first. Only pairs
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+The SimHash operator's second half, for looser copies than its fingerprints
+alone can tell. Texts with equal sets are one node. Candidates come in two
+steps, and each is verified on the whole sets before it links anything:
+
+* 64-bit SimHash fingerprints of the shingles that differ in three bits at
+  most, found by their Golay keys (:func:`.simhash.links`). These are the
+  closest copies; what they connect needs no more pairs.
+* At a similarity of 0.8 about ten of 64 bits differ, and Golay keys that
+  reach so far would be too many or too short. So nodes of different groups
+  are also paired if they share a band: five of a hundred least hashes of the
+  set. A pair of similarity s is missed with a probability of (1 - s**5)**20:
+  0.0004 at 0.8, under 10**-7 from 0.9 on.
+
+In a band with many nodes all are held against a few leaders first. Only pairs
 that this has not connected are made then: what is left out joins nodes that
 are in one group already, or cannot be near by the triangle inequality.
 """
@@ -17,6 +21,7 @@ are in one group already, or cannot be near by the triangle inequality.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,69 +29,72 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import NO_ID, one_of_each, small, stored
 from .components import components
+from .substrings import rolling, word_hashes
 
 SHINGLE = 5
-#: A key with more members goes by leaders first, so many of them.
-HOT, LEADERS = 64, 3
-#: Common: in so many of the sampled nodes, one in SAMPLE; at most so many shingles.
-SAMPLE, COMMON, MOST = 16, 3, 200_000
+BANDS, ROWS = 20, 5
+#: A band with more nodes goes by leaders first, so many of them.
+HOT, LEADERS = 16, 2
 SEED = 42
+#: Odd factors that make one hash a hundred, and five least hashes one key.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+#: Texts whose sets are kept at hand while pairs are verified.
+AT_HAND = 64
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return z ^ (z >> np.uint64(29))
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(0, np.int64)
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - SHINGLE + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
+        return np.zeros(0, np.uint64)
+    return np.unique(_mixed(rolling(word_hashes(words), min(SHINGLE, len(words)))[0]))
+
 
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its five least hashes."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(found), 1024):
+        np.minimum(least, (found[at : at + 1024, None] * FACTORS).min(axis=0), out=least)
+    folded = (least.reshape(BANDS, ROWS) * FACTORS[:ROWS]).sum(axis=1, dtype=np.uint64)
+    return _mixed(folded + np.arange(BANDS, dtype=np.uint64))
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [shingles(t.as_py()) for t in b.column(2)]
-        node = pa.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], pa.uint64()).to_numpy(zero_copy_only=False).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(found, pa.list_(pa.int64()))], names=["id", "tag", "node", "set"])
-
-
-def _member(s: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which of s stand in the sorted among."""
-    if not len(among):
-        return np.zeros(len(s), bool)
-    return among[np.minimum(np.searchsorted(among, s), len(among) - 1)] == s
-
-
-def _keys(common):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, node, size = [], [], []
-            for at, s in zip(b.column(0).to_pylist(), b.column(1)):
-                s = s.values.to_numpy(zero_copy_only=False)
-                n = len(s)
-                if not n:
-                    continue
-                need = n - (4 * n + 4) // 5 + 1
-                late = _member(s, common.value)
-                key.append(np.concatenate((s[~late], s[late]))[:need])
-                node.append(np.full(need, at, np.int64))
-                size.append(np.full(need, n, np.int32))
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, node, size)], names=["key", "node", "n"])
-
-    return run
-
-
-def _judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs (x, y), distinct, with shared (shingles in both) and total (the sets' sizes, summed)."""
-    pairs = stored(pairs, "pairs")
-    ends = stored(pairs.select(F.explode(F.array("x", "y")).alias("e")).distinct(), "ends")
-    sets = stored(nodes.join(small(ends, ends.count(), 16), F.col("node") == F.col("e"), "left_semi").select("node", "set"), "sets")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), F.col("x") == F.col("a"))
-    met = met.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), F.col("y") == F.col("b"))
-    return met.select("x", "y", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
+        sets = [shingles(t.as_py()) for t in b.column(2)]
+        node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        prints = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+        keys = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+        names = ["id", "tag", "node", "n", "fp", "bands"]
+        sizes = pa.array([len(s) for s in sets], pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), sizes, pa.array(prints), pa.array(keys, pa.list_(pa.int64()))], names=names)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+
+    def own(node: int, text: pa.Scalar) -> np.ndarray:
+        if node not in held:
+            if len(held) >= AT_HAND:
+                held.clear()
+            held[node] = shingles(text.as_py())
+        return held[node]
+
+    for b in batches:
+        shared, total = [], []
+        for x, y, tx, ty in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+            sx, sy = own(x, tx), own(y, ty)
+            shared.append(len(np.intersect1d(sx, sy, assume_unique=True)))
+            total.append(len(sx) + len(sy))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared, pa.int32()), pa.array(total, pa.int32())], names=["x", "y", "shared", "total"])
 
 
 def _near(shared: Column, total: Column) -> Column:
@@ -99,69 +107,99 @@ def _alike(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
+class _Search:
+    """Candidates over the nodes of a table, and their verification on its texts."""
+
+    def __init__(self, documents: DataFrame):
+        self.keyed = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tag"), "text")
+        self.rows = stored(self.keyed.mapInArrow(_signed, "id long, tag long, node long, n int, fp long, bands array<long>"), "signed")
+        first = self.rows.groupBy("node").agg(F.min(F.struct("id", "tag", "n", "fp", "bands")).alias("f"))
+        self.nodes = stored(first.select("node", "f.*"), "nodes")
+        self.repeated = bool(self.rows.groupBy("id", "tag").count().where("count > 1").limit(1).count())
+
+    def judged(self, pairs: DataFrame) -> DataFrame:
+        """pairs (x, y) of nodes with shared (shingles in both) and total (the sets' sizes, summed)."""
+        pairs = stored(pairs.distinct(), "pairs")
+        ends = stored(pairs.select(F.explode(F.array("x", "y")).alias("e")).distinct(), "ends")
+        n = ends.count()
+        wanted = stored(self.nodes.join(small(ends, n, 16), F.col("node") == F.col("e"), "left_semi").select("node", F.col("id").alias("i"), F.col("tag").alias("t")), "wanted")
+        texts = self.keyed.join(small(wanted, n, 40), (F.col("id") == F.col("i")) & (F.col("tag") == F.col("t"))).select("node", "text")
+        texts = stored(texts.dropDuplicates(["node"]) if self.repeated else texts, "texts")
+        met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), F.col("x") == F.col("a"))
+        met = met.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), F.col("y") == F.col("b"))
+        return stored(met.select("x", "y", "ta", "tb").mapInArrow(_compared, "x long, y long, shared int, total int"), "judged")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        return self.judged(pairs).where(_near(F.col("shared"), F.col("total"))).select("x", "y")
+
+    def closest(self) -> DataFrame:
+        """(x, y): verified links of nodes whose fingerprints are equal or linked, between one node of each fingerprint and to it."""
+        first = stored(self.nodes.where("n > 0").groupBy(F.col("fp").alias("p")).agg(F.min("node").alias("r")), "first-of-print")
+        linked = simhash.links(first.select(F.col("p").alias("fp")))
+        met = linked.join(first.select(F.col("p").alias("px"), F.col("r").alias("rx")), F.col("x") == F.col("px"))
+        met = met.join(first.select(F.col("p").alias("py"), F.col("r").alias("ry")), F.col("y") == F.col("py"))
+        equal = self.nodes.join(first, F.col("fp") == F.col("p")).where("node <> r").select(F.col("r").alias("x"), F.col("node").alias("y"))
+        return self.near(met.select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).union(equal))
+
+    def members(self, roots: DataFrame) -> DataFrame:
+        """(key, node, n, root) of the bands that hold nodes of several groups."""
+        at = self.nodes.select("node", "n", F.explode("bands").alias("key"))
+        at = at.join(roots.withColumnRenamed("node", "o"), F.col("node") == F.col("o"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        at = stored(at, "band-rows")
+        apart = stored(at.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("k", "c"), "apart")
+        return stored(at.join(apart, F.col("key") == F.col("k")).select("key", "node", "n", "root", "c"), "members")
+
+
 def _crossing(left: DataFrame, *more: Column) -> DataFrame:
-    """(x, y), x < y: distinct pairs that share a key, of sizes that fit and what more says."""
+    """(x, y), x < y: pairs of different groups that share a band, of sizes that fit and what more says."""
     right = left.select(*[F.col(c).alias(f"_{c}") for c in left.columns])
-    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & _alike(F.col("n"), F.col("_n")))
-    for c in more:
-        met = met.where(c)
-    return met.select(F.col("node").alias("x"), F.col("_node").alias("y")).distinct()
-
-
-def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """(x, y): links that connect exactly what all pairs of nodes (node, set) of similarity 0.8 or more would."""
-    sampled = nodes.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(F.explode("set").alias("s"))
-    often = sampled.groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST).collect()
-    common = nodes.sparkSession.sparkContext.broadcast(np.array(sorted(r["s"] for r in often), np.int64))
-    keys = stored(nodes.select("node", "set").mapInArrow(_keys(common), "key long, node long, n int"), "keys")
-    count = stored(keys.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).where("c > 1"), "key-counts")
-    members = stored(keys.join(count, F.col("key") == F.col("k")).select("key", "node", "n", "c"), "members")
-
-    judged = _judged(_crossing(members.where(F.col("c") <= hot).select("key", "node", "n")), nodes)
-    found = stored(judged.where(_near(F.col("shared"), F.col("total"))).select("x", "y"), "near")
-    many = count.where(F.col("c") > hot).count()
-    if not many:
+    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & (F.col("root") != F.col("_root")) & _alike(F.col("n"), F.col("_n")))
+    return reduce(DataFrame.where, more, met).select(F.col("node").alias("x"), F.col("_node").alias("y"))
+
+
+def _regrouped(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the roots that found makes, of the keys that still hold several."""
+    roots = stored(components(found), "roots").withColumnRenamed("node", "o").withColumnRenamed("root", "new")
+    now = rows.drop("root").join(roots, F.col("node") == F.col("o"), "left").withColumn("root", F.coalesce("new", "node")).drop("o", "new")
+    now = stored(now, "regrouped")
+    apart = now.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+    return stored(now.join(stored(apart, "apart"), F.col("key") == F.col("k"), "left_semi"), "still-apart")
+
+
+def links(search: _Search, hot: int = HOT) -> DataFrame:
+    """(x, y): links that connect what all candidate pairs of similarity 0.8 or more would."""
+    found = stored(search.closest(), "closest")
+    members = search.members(stored(components(found), "roots"))
+    found = found.union(search.near(_crossing(members.where(F.col("c") <= hot))))
+    crowd = members.where(F.col("c") > hot).drop("c")
+    if not crowd.limit(1).count():
         return found
-
-    crowd = stored(members.where(F.col("c") > hot).select("key", "node", "n"), "crowd")
+    crowd = crowd.withColumn("d", F.lit(0.0))
     for turn in range(LEADERS):
-        first = crowd.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))).alias("f"))
-        first = stored(first.select("k", F.col("f.node").alias("x")), "leaders")
-        pairs = crowd.join(small(first, many, 32), F.col("key") == F.col("k")).where("x <> node").select("x", F.col("node").alias("y")).distinct()
-        held = stored(_judged(pairs, nodes), "held")
-        found = found.union(held.where(_near(F.col("shared"), F.col("total"))).select("x", "y"))
-    found = stored(found.distinct(), "near")
-    roots = stored(components(found), "crowd-roots")
-    # each member with its root and its distance to the key's last leader
-    far = (1 - F.col("shared") / (F.col("total") - F.col("shared"))).alias("d")
-    spans = held.select(F.col("x").alias("l"), F.col("y").alias("m"), far)
-    rooted = crowd.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    apart = stored(rooted.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"), "apart")
-    rooted = rooted.join(apart, F.col("key") == F.col("k"), "left_semi")
-    rooted = rooted.join(first, F.col("key") == F.col("k")).join(spans, (F.col("x") == F.col("l")) & (F.col("node") == F.col("m")), "left")
-    rooted = stored(rooted.select("key", "node", "n", "root", F.coalesce("d", F.lit(0.0)).alias("d")), "rooted")
-    rest = _crossing(rooted, F.col("root") != F.col("_root"), F.abs(F.col("d") - F.col("_d")) <= 0.2 + 1e-9)
-    more = _judged(rest, nodes).where(_near(F.col("shared"), F.col("total"))).select("x", "y")
-    return found.union(more)
+        leader = crowd.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))).alias("f"))
+        leader = stored(leader.select("k", F.col("f.node").alias("x")), "leaders")
+        led = stored(crowd.join(leader, F.col("key") == F.col("k")).drop("k"), "led")
+        held = search.judged(led.where("x <> node").select("x", F.col("node").alias("y")))
+        found = stored(found.union(held.where(_near(F.col("shared"), F.col("total"))).select("x", "y")).distinct(), "found")
+        # each node with its distance from the band's last leader
+        far = held.select(F.col("x").alias("l"), F.col("y").alias("m"), (1 - F.col("shared") / (F.col("total") - F.col("shared"))).alias("far"))
+        led = led.join(far, (F.col("x") == F.col("l")) & (F.col("node") == F.col("m")), "left").select("key", "node", "n", "root", F.coalesce("far", F.lit(0.0)).alias("d"))
+        crowd = _regrouped(led, found)
+        if not crowd.limit(1).count():
+            return found
+    return found.union(search.near(_crossing(crowd, F.abs(F.col("d") - F.col("_d")) <= 0.2 + 1e-9)))
 
 
 def groups(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row of documents: id, tag (a hash of the text) and root, equal for near copies and what connects them.
 
-    A null id is larger than all others. Texts without words are copies of
-    each other.
+    A null id is larger than all others. Texts without words, null ones too,
+    are copies of each other. Rows that repeat id and text have one result
+    row each. Sets are told apart by 64-bit hashes. An empty table gives no rows.
     """
-    rows = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tag"), "text")
-    rows = stored(rows.mapInArrow(_sets, "id long, tag long, node long, set array<long>"), "sets-of-rows")
-    one = stored(rows.groupBy(F.col("node").alias("o")).agg(F.min(F.struct("id", "tag")).alias("f")).select("o", "f.id", "f.tag"), "one-of-node")
-    mine = (F.col("a.node") == F.col("b.o")) & (F.col("a.id") == F.col("b.id")) & (F.col("a.tag") == F.col("b.tag"))
-    # rows that repeat id and text would come as one node several times: keys are counted by distinct ones
-    nodes = rows.alias("a").join(one.alias("b"), mine, "left_semi").select("node", "set")
-    if rows.groupBy("id", "tag").count().where("count > 1").limit(1).count():
-        nodes = nodes.dropDuplicates(["node"])
-    nodes = stored(nodes, "nodes")
-    roots = stored(components(links(nodes, hot)), "roots")
-    met = rows.select("id", "tag", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
+    search = _Search(documents)
+    roots = stored(components(links(search, hot)), "roots")
+    met = search.rows.select("id", "tag", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
     return met.select("id", "tag", F.coalesce("root", "own").alias("root"))
 
 

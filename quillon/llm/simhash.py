@@ -14,7 +14,13 @@ and two fingerprints that link always meet in a key. Candidates are verified
 by counting bits. Equal fingerprints are one node, so copies are never paired.
 
 Keys that many fingerprints ask with are left to :func:`ball_links`, which
-finds the same links with a number of rows that grows with the members only.
+connects the same fingerprints with a number of rows that grows with the
+members only; their links are counted without being made (:func:`_counted`).
+
+Keys have 24 bits and three pairs of segments, so N distinct fingerprints
+that are spread evenly meet about 5 N**2 / 10**6 candidates: fewer than rows
+up to some 10**7 fingerprints. Past 4 * 10**9 every key is crowded, and each
+fingerprint becomes the 2,146 points of :func:`ball_links`, in proportion.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, of, packed, small, stored, unpacked
+from .common import NO_ID, one_of_each, small, stored
 from .components import components
 
 SEED = 42
@@ -54,10 +60,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), dtype=">u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are one where over half the hashes have a one."""
+    ones, n = np.zeros(64, dtype=np.int64), len(hashes)
     for at in range(0, n, 4096):
-        ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        part = hashes[at : at + 4096].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n).view(">u8")[0])
 
 
@@ -154,7 +165,8 @@ def ball_links(prints: DataFrame) -> DataFrame:
 def _met(prints: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
     """(x, y): all links among distinct fingerprints (fp) but those that only hot keys show; the hot keys' members (fp), if there are any."""
     ask = prints.mapInArrow(_keys(True), "key int, fp long")
-    answer = prints.mapInArrow(_keys(False), "key int, fp long")
+    # each fingerprint becomes some 80 rows: Spark must not have merged them into a few tasks before
+    answer = prints.repartition("fp").mapInArrow(_keys(False), "key int, fp long")
     many = stored(ask.groupBy(F.col("key").alias("hot")).count().where(F.col("count") > hot).select("hot"), "hot-keys")
     n = many.count()
     met = ask.select(F.col("key").alias("k"), F.col("fp").alias("x")).join(answer, F.col("k") == F.col("key"))
@@ -199,7 +211,7 @@ def degrees(met: DataFrame, members: DataFrame | None) -> DataFrame:
 
 
 def classes(documents: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """Per row of documents: doc_id, tag (a hash of the text), fp (signed), component_id, n_links (of its fingerprint, to other ones).
+    """Per row of documents: doc_id, tag (a hash of the text), fp (signed), root (the component's smallest fingerprint), component_id, n_links (of its fingerprint, to other ones).
 
     Documents without words have fingerprint zero and link like any other.
     Repeated ids and texts give one row each. A null id is larger than all
@@ -214,13 +226,13 @@ def classes(documents: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> Dat
     roots = components(linked)
     rooted = nodes.join(roots, F.col("fp") == F.col("node"))
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least"))
-    rooted = rooted.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("lfp"), "least")
+    rooted = rooted.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("lfp"), "root", "least")
     named = nodes.join(rooted, F.col("fp") == F.col("lfp"), "left").join(degree, F.col("fp") == F.col("dfp"), "left")
-    named = named.select(F.col("fp").alias("nfp"), F.coalesce("least", "first").alias("component"), F.coalesce("n", F.lit(0)).alias("n_links"))
+    named = named.select(F.col("fp").alias("nfp"), F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component"), F.coalesce("n", F.lit(0)).alias("n_links"))
     # stored, so that the join's two sides are dealt out apart from what made them, and a hot fingerprint's rows can be split
     out = docs.join(stored(named, "named"), F.col("fp") == F.col("nfp"))
     component = F.when(F.col("component") != NO_ID, F.col("component"))
-    return out.select("doc_id", "tag", "fp", component.alias("component_id"), "n_links")
+    return out.select("doc_id", "tag", "fp", "root", component.alias("component_id"), "n_links")
 
 
 def as_hex(fp: Column) -> Column:
@@ -228,13 +240,6 @@ def as_hex(fp: Column) -> Column:
 
 
 def dedup(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """documents with one row left of each component: that of the smallest id; among rows that repeat the id, one text, once."""
-    found = classes(documents, shingle).where("doc_id <=> component_id")
-    kept = found.groupBy("component_id").agg(F.min("tag").alias("tag"), F.count("*").alias("n"))
-    kept = stored(kept.select(F.col("component_id").alias("_first"), F.col("tag").alias("_tag"), "n"), "kept")
-    repeated = kept.where("n > 1").limit(1).count()
-    mine = of("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64(of("text")) == F.col("_tag"))
-    rows = packed(documents).join(kept.select("_first", "_tag"), mine, "left_semi")
-    if repeated:  # rows that repeat id and text are told apart by nothing: any of them will do
-        rows = rows.withColumn("_id", of("doc_id")).dropDuplicates(["_id"])
-    return unpacked(rows, documents)
+    """documents with one row left of each component: that of the smallest id, and of its texts the one of the smallest hash."""
+    found = classes(documents, shingle).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "tag", "root")
+    return one_of_each(documents, found)

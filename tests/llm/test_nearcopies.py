@@ -71,6 +71,22 @@ def test_chains_in_crowded_keys(spark):
         assert grouped(nearcopies.groups(docs, hot).collect()) == brute(texts), hot
 
 
+def test_pairs_at_the_threshold(spark):
+    """Of pairs at a similarity of 0.8 to 0.82, no closer, hardly one is missed."""
+    rnd, texts = random.Random(8), []
+    while len(texts) < 800:
+        a = [f"v{rnd.randrange(10**7)}" for _ in range(rnd.randint(180, 300))]
+        b = list(a)
+        at = rnd.randrange(10, len(a) - 100)
+        while 5 * len(shingles(" ".join(a)) & shingles(" ".join(b))) > 4.1 * len(shingles(" ".join(a)) | shingles(" ".join(b))):
+            b[at] = f"x{rnd.randrange(10**7)}"
+            at += 1
+        if 5 * len(shingles(" ".join(a)) & shingles(" ".join(b))) >= 4 * len(shingles(" ".join(a)) | shingles(" ".join(b))):
+            texts += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sum(len(g) == 2 for g in grouped(nearcopies.groups(docs).collect())) >= 0.99 * len(texts) / 2
+
+
 def test_odd_rows(odd):
     kept = nearcopies.dedup(odd)
     assert kept.columns == odd.columns

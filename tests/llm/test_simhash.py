@@ -111,3 +111,23 @@ def test_hot_keys_count_every_link(spark):
         assert (members is None) == (hot == 10_000)
         got = {r.dfp: r.n for r in simhash.degrees(met, members).collect()}
         assert {x: got.get(x, 0) for x in want} == want, hot
+
+
+def test_dense_cubes_count_every_link(spark):
+    rnd = random.Random(6)
+    for size, free in ((200, 8), (400, 10), (400, 12)):
+        base, bits = rnd.getrandbits(64), rnd.sample(range(64), free)
+        cube = [base ^ sum(1 << b for i, b in enumerate(bits) if x >> i & 1) for x in rnd.sample(range(1 << free), size)]
+        p = np.array(sorted(cube), dtype=np.uint64)
+        near = np.bitwise_count(p[:, None] ^ p[None, :]) <= 3
+        signed = p.view(np.int64).tolist()
+        frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+        for hot in (2, simhash.HOT):
+            got = {r.dfp: r.n for r in simhash.degrees(*simhash._met(frame, hot)).collect()}
+            assert [got.get(x, 0) for x in signed] == (near.sum(axis=1) - 1).tolist(), (size, free, hot)
+
+
+def test_components_of_null_ids_stay_apart(spark):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (None, "quite another text is here"), (7, "one of id seven"), (7, "and some other words")]
+    kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted({t for _, t in rows})

@@ -13,15 +13,20 @@ steps, and each is verified on the whole sets before it links anything:
   set. A pair of similarity s is missed with a probability of (1 - s**5)**20:
   0.0004 at 0.8, under 10**-7 from 0.9 on.
 
-In a band with many nodes all are held against a few leaders first. Only pairs
-that this has not connected are made then: what is left out joins nodes that
-are in one group already, or cannot be near by the triangle inequality.
+Nodes of a crowded band are not paired by it. They are joined by prefixes
+instead, without loss: in any one order of all shingles, two sets of that
+similarity have their first common shingle within the first fifth (and one
+more) of both, and behind it in both there is room for what they must share.
+The order puts shingles that a sample of these nodes shows to be common last,
+so that sets with many shingles of their own meet nobody. Which shingles count
+as common changes the cost, never the result. In each key the set with the
+fewest shingles before it leads: all are held against it, and then only nodes
+that are not in one group by now are paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,10 @@ from .substrings import rolling, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 20, 5
-#: A band with more nodes goes by leaders first, so many of them.
-HOT, LEADERS = 16, 2
+#: A band with more nodes is crowded.
+HOT = 16
+#: Common: in so many of the sampled nodes, one in SAMPLE; at most so many shingles.
+SAMPLE, COMMON, MOST = 16, 3, 200_000
 SEED = 42
 #: Odd factors that make one hash a hundred, and five least hashes one key.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -78,6 +85,25 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), sizes, pa.array(prints), pa.array(keys, pa.list_(pa.int64()))], names=names)
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for t in b.column(1):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], names=["s"])
+
+
+def _prefixes(common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, text in zip(b.column(0).to_pylist(), b.column(1)):
+                s, late = shingles(text.as_py()), common.value
+                n, known = len(s), late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
+                first = np.concatenate((s[~known], s[known]))[: n - (4 * n + 4) // 5 + 1]
+                columns = (first.view(np.int64), np.full(len(first), node, np.int64), np.arange(len(first), dtype=np.int32), np.full(len(first), n, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "pos", "n"])
+
+    return run
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
 
@@ -120,15 +146,19 @@ class _Search:
     def judged(self, pairs: DataFrame) -> DataFrame:
         """pairs (x, y) of nodes with shared (shingles in both) and total (the sets' sizes, summed)."""
         pairs = stored(pairs.distinct(), "pairs")
-        ends = stored(pairs.select(F.explode(F.array("x", "y")).alias("e")).distinct(), "ends")
-        n = ends.count()
-        wanted = stored(self.nodes.join(small(ends, n, 16), F.col("node") == F.col("e"), "left_semi").select("node", F.col("id").alias("i"), F.col("tag").alias("t")), "wanted")
-        texts = self.keyed.join(small(wanted, n, 40), (F.col("id") == F.col("i")) & (F.col("tag") == F.col("t"))).select("node", "text")
-        texts = stored(texts.dropDuplicates(["node"]) if self.repeated else texts, "texts")
+        texts = self.texts(pairs.select(F.col("x").alias("e")).union(pairs.select("y")).distinct())
         met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), F.col("x") == F.col("a"))
         met = met.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), F.col("y") == F.col("b"))
         return stored(met.select("x", "y", "ta", "tb").mapInArrow(_compared, "x long, y long, shared int, total int"), "judged")
 
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """(node, text) of the wanted nodes (e)."""
+        wanted = stored(wanted, "ends")
+        n = wanted.count()
+        own = stored(self.nodes.join(small(wanted, n, 16), F.col("node") == F.col("e"), "left_semi").select("node", F.col("id").alias("i"), F.col("tag").alias("t")), "wanted")
+        texts = self.keyed.join(small(own, n, 40), (F.col("id") == F.col("i")) & (F.col("tag") == F.col("t"))).select("node", "text")
+        return stored(texts.dropDuplicates(["node"]) if self.repeated else texts, "texts")
+
     def near(self, pairs: DataFrame) -> DataFrame:
         return self.judged(pairs).where(_near(F.col("shared"), F.col("total"))).select("x", "y")
 
@@ -150,44 +180,51 @@ class _Search:
         return stored(at.join(apart, F.col("key") == F.col("k")).select("key", "node", "n", "root", "c"), "members")
 
 
-def _crossing(left: DataFrame, *more: Column) -> DataFrame:
-    """(x, y), x < y: pairs of different groups that share a band, of sizes that fit and what more says."""
+def _crossing(left: DataFrame, fits: Column) -> DataFrame:
+    """(x, y), x < y: pairs of different groups that share a key, if they fit (their columns, and the same with _ before)."""
     right = left.select(*[F.col(c).alias(f"_{c}") for c in left.columns])
-    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & (F.col("root") != F.col("_root")) & _alike(F.col("n"), F.col("_n")))
-    return reduce(DataFrame.where, more, met).select(F.col("node").alias("x"), F.col("_node").alias("y"))
-
-
-def _regrouped(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with the roots that found makes, of the keys that still hold several."""
-    roots = stored(components(found), "roots").withColumnRenamed("node", "o").withColumnRenamed("root", "new")
-    now = rows.drop("root").join(roots, F.col("node") == F.col("o"), "left").withColumn("root", F.coalesce("new", "node")).drop("o", "new")
-    now = stored(now, "regrouped")
-    apart = now.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    return stored(now.join(stored(apart, "apart"), F.col("key") == F.col("k"), "left_semi"), "still-apart")
+    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & (F.col("root") != F.col("_root")) & fits)
+    return met.select(F.col("node").alias("x"), F.col("_node").alias("y"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows (key, root and more) of the keys that hold several groups."""
+    rows = stored(rows, "key-rows")
+    apart = rows.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+    return stored(rows.join(stored(apart, "apart"), F.col("key") == F.col("k"), "left_semi"), "still-apart")
+
+
+def _crowded(search: _Search, crowd: DataFrame) -> DataFrame:
+    """(x, y): links that connect what all pairs of crowd (node, root) of similarity 0.8 or more would, by prefixes."""
+    texts = search.texts(crowd.select(F.col("node").alias("e")))
+    sampled = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).mapInArrow(_sets, "s long")
+    often = sampled.groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST).collect()
+    common = crowd.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in often], np.int64).view(np.uint64)))
+    rows = texts.mapInArrow(_prefixes(common), "key long, node long, pos int, n int")
+    rows = _apart(rows.join(crowd.withColumnRenamed("node", "o"), F.col("node") == F.col("o")).drop("o"))
+    # what follows the key in either set, itself included, must do for what the two must share
+    room = 9 * F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) >= 4 * (F.col("n") + F.col("_n"))
+    fits = room & _alike(F.col("n"), F.col("_n"))
+
+    first = rows.groupBy("key").agg(F.min(F.struct("pos", F.xxhash64("node"), "node", "n", "root")).alias("f"))
+    first = stored(first.select(F.col("key").alias("_key"), *[F.col(f"f.{c}").alias(f"_{c}") for c in ("pos", "node", "n", "root")]), "leaders")
+    led = rows.join(first, F.col("key") == F.col("_key")).where((F.col("root") != F.col("_root")) & fits)
+    found = search.near(led.select(F.least("node", "_node").alias("x"), F.greatest("node", "_node").alias("y")))
+    # the groups that these links join
+    ends = found.join(crowd.select(F.col("node").alias("a"), F.col("root").alias("ra")), F.col("x") == F.col("a"))
+    ends = ends.join(crowd.select(F.col("node").alias("b"), F.col("root").alias("rb")), F.col("y") == F.col("b"))
+    joined = stored(components(ends.select("ra", "rb")), "joined").select(F.col("node").alias("o"), F.col("root").alias("new"))
+    rows = rows.join(joined, F.col("root") == F.col("o"), "left").select("key", "node", "pos", "n", F.coalesce("new", "root").alias("root"))
+    return found.union(search.near(_crossing(_apart(rows), fits)))
 
 
 def links(search: _Search, hot: int = HOT) -> DataFrame:
     """(x, y): links that connect what all candidate pairs of similarity 0.8 or more would."""
     found = stored(search.closest(), "closest")
     members = search.members(stored(components(found), "roots"))
-    found = found.union(search.near(_crossing(members.where(F.col("c") <= hot))))
-    crowd = members.where(F.col("c") > hot).drop("c")
-    if not crowd.limit(1).count():
-        return found
-    crowd = crowd.withColumn("d", F.lit(0.0))
-    for turn in range(LEADERS):
-        leader = crowd.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))).alias("f"))
-        leader = stored(leader.select("k", F.col("f.node").alias("x")), "leaders")
-        led = stored(crowd.join(leader, F.col("key") == F.col("k")).drop("k"), "led")
-        held = search.judged(led.where("x <> node").select("x", F.col("node").alias("y")))
-        found = stored(found.union(held.where(_near(F.col("shared"), F.col("total"))).select("x", "y")).distinct(), "found")
-        # each node with its distance from the band's last leader
-        far = held.select(F.col("x").alias("l"), F.col("y").alias("m"), (1 - F.col("shared") / (F.col("total") - F.col("shared"))).alias("far"))
-        led = led.join(far, (F.col("x") == F.col("l")) & (F.col("node") == F.col("m")), "left").select("key", "node", "n", "root", F.coalesce("far", F.lit(0.0)).alias("d"))
-        crowd = _regrouped(led, found)
-        if not crowd.limit(1).count():
-            return found
-    return found.union(search.near(_crossing(crowd, F.abs(F.col("d") - F.col("_d")) <= 0.2 + 1e-9)))
+    found = found.union(search.near(_crossing(members.where(F.col("c") <= hot), _alike(F.col("n"), F.col("_n")))))
+    crowd = stored(members.where(F.col("c") > hot).select("node", "root").distinct(), "crowd")
+    return found.union(_crowded(search, crowd)) if crowd.limit(1).count() else found
 
 
 def groups(documents: DataFrame, hot: int = HOT) -> DataFrame:

@@ -13,8 +13,10 @@ Conventions that hold for every operator of this subpackage
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +63,24 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+@cache
+def _own_dir(application: str) -> str:
+    path = tempfile.mkdtemp(prefix=f"quillon-{application}-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quillon-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    """The folder that all executors share, as the session names it.
+
+    Only where driver and executors are one process may it be a folder of our
+    own; a cluster without a named folder is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or _own_dir(context.applicationId)).rstrip("/")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -85,12 +98,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`stored` wrote, once what was made of them is stored itself."""
+    for df in tables:
+        _remove(df.sparkSession, df._stored_at)
+
+
+def fits(rows: int, row_bytes: int) -> bool:
+    """Whether so many rows may be broadcast."""
+    return rows * row_bytes <= BROADCAST_BYTES
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df, to be broadcast if its counted rows times row_bytes stay under BROADCAST_BYTES; else Spark joins by shuffle."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits(rows, row_bytes) else df
+
+
+def marked(places: Column) -> Column:
+    """For sorted, distinct, whole places an array that has 1 at each of them and 0 before, as long as the last one needs. Linear."""
+    begins = F.array_except(places, F.transform(places, lambda x: x + 1))
+    ends = F.array_except(places, F.transform(places, lambda x: x - 1))
+    upto = F.concat(F.array(F.lit(-1)), ends)
+    gaps = F.zip_with(begins, F.slice(upto, F.lit(1), F.size(begins)), lambda b, e: b - e - 1)
+    runs = F.zip_with(begins, ends, lambda b, e: e - b + 1)
+    return F.flatten(F.zip_with(gaps, runs, lambda g, n: F.concat(F.array_repeat(F.lit(0), g), F.array_repeat(F.lit(1), n))))
 
 
 def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     edges = stored(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u > v").distinct(), "links")
     before = None
     for _ in range(rounds):
-        edges = stored(_star(_star(edges, True), False), "links")
+        old, edges = edges, stored(_star(_star(edges, True), False), "links")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
         if now == before:
             roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -6,8 +6,9 @@ and triples score the word in each. A Viterbi search over the words, with a
 penalty for each switch of language, labels spans of the text.
 
 What is learned are counts over all labelled documents: fixed-size tables
-that each task fills and Spark adds up. One row for each language and bucket
-reaches the driver, however many documents there are.
+that each task fills and Spark adds up. One row for each language reaches the
+driver, one after another, however many documents there are; the model takes
+half a megabyte a language.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ _NAMES = list(dict.fromkeys(n for _, n in SCRIPTS))
 _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 #: A language is a candidate for a script that holds at least this share of its letters.
 SCRIPT_SHARE = 1e-3
-#: Nats that a switch of language costs, and a word in a script that is not the language's.
-SWITCH, FOREIGN = 20.0, 50.0
+#: Nats that a switch of language costs, and the score of a language that is no candidate for a word.
+SWITCH, NEVER = 20.0, -1e6
+#: More languages than this are an error: the model would no longer be small.
+LANGUAGES = 512
 SMOOTH = 0.5
 UNKNOWN = "und"
 
@@ -98,10 +101,20 @@ class Model:
     fits: np.ndarray  # [scripts, languages]
 
     def scores(self, w: Words) -> np.ndarray:
-        """[words, languages]: log likelihoods; languages of other scripts pay, unless no language has the script."""
-        s = np.add.reduceat(self.table[w.pairs] + self.table[BUCKETS + w.triples], w.at, axis=0).astype(np.float64)
-        fits = self.fits[w.script]
-        return np.where(fits | ~fits.any(axis=1, keepdims=True), s, s - FOREIGN)
+        """[words, languages]: log likelihoods of each word's candidates, the languages of its script; of all, if none has the script."""
+        size = np.diff(np.append(w.at, len(w.pairs)))
+        out = np.full((len(w.at), len(self.langs)), NEVER)
+        for script in np.unique(w.script).tolist():
+            own = np.flatnonzero(self.fits[script])
+            own = own if len(own) else np.arange(len(self.langs))
+            mine = w.script == script
+            letters = slice(None) if mine.all() else np.repeat(mine, size)
+            at = np.cumsum(size[mine]) - size[mine]
+            pairs, triples = w.pairs[letters], BUCKETS + w.triples[letters]
+            every = len(own) == len(self.langs)
+            scored = self.table[pairs] + self.table[triples] if every else self.table[np.ix_(pairs, own)] + self.table[np.ix_(triples, own)]
+            out[np.ix_(mine, own)] = np.add.reduceat(scored, at, axis=0)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
         """Main language, score and spans. The main language labels most letters (ties: the first by name); the score is its mean posterior over letters, word by word."""
@@ -162,19 +175,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(t[at])], names=["lang", "bucket", "n"])
 
 
+def _dense(table: pa.Table) -> pa.Table:
+    """A language's counts as one row of bytes."""
+    counts = np.zeros(2 * BUCKETS + len(_NAMES), dtype=np.int64)
+    counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
 def train(labelled: DataFrame) -> Model:
-    """From (text, lang); rows with a null in either teach nothing. All rows count."""
+    """From (text, lang); rows with a null in either teach nothing. All rows count. More than LANGUAGES languages are an error."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null").mapInArrow(_count, "lang string, bucket int, n long")
-    got = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(got["lang"].unique())
-    counts = np.zeros((2 * BUCKETS + len(_NAMES), len(langs)))
-    counts[got["bucket"], [langs.index(x) for x in got["lang"]]] = got["n"]
-    table = np.empty((2 * BUCKETS, len(langs)), dtype=np.float32)
-    for half in (0, 1):
-        part = counts[half * BUCKETS : (half + 1) * BUCKETS]
-        table[half * BUCKETS : (half + 1) * BUCKETS] = 0.5 * np.log((part + SMOOTH) / (part.sum(axis=0) + SMOOTH * BUCKETS))
-    scripts = counts[2 * BUCKETS :]
-    return Model(langs, table, scripts >= SCRIPT_SHARE * scripts.sum(axis=0))
+    sums = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    learned: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for r in sums.groupBy("lang").applyInArrow(_dense, "lang string, counts binary").toLocalIterator():
+        if len(learned) == LANGUAGES:
+            raise ValueError(f"over {LANGUAGES} languages are labelled")
+        counts = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
+        halves = counts[: 2 * BUCKETS].reshape(2, BUCKETS)
+        logs = 0.5 * np.log((halves + SMOOTH) / (halves.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS))
+        scripts = counts[2 * BUCKETS :]
+        learned[r["lang"]] = logs.reshape(-1).astype(np.float32), scripts >= SCRIPT_SHARE * scripts.sum()
+    langs = sorted(learned)
+    if not langs:
+        return Model([], np.zeros((2 * BUCKETS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
+    return Model(langs, np.stack([learned[x][0] for x in langs], axis=1), np.stack([learned[x][1] for x in langs], axis=1))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, of, packed, small, stored, unpacked
+from .common import NO_ID, marked, of, packed, small, stored, unpacked
 
 #: A line on so many distinct sites or more is boilerplate.
 MIN_SITES = 10
@@ -36,7 +36,7 @@ def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(line, sites, exact, first): lines on min_sites sites or more, and their first occurrence (id, tag, pos).
 
     Blanks at a line's ends do not count, and blank lines are none. A null
-    source is a site of its own.
+    source is the site with the empty name.
     """
     lines = _lines(documents)
     sketched = lines.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("id", "tag", "pos")).alias("first"))
@@ -73,7 +73,8 @@ def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> Data
     size = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("_gone")), F.lit(0)).alias("k")).first()
     mine = (F.coalesce(of("doc_id"), F.lit(NO_ID)) == F.col("_i")) & (F.xxhash64(F.coalesce(of("text"), F.lit(""))) == F.col("_t"))
     docs = packed(documents).join(small(gone, size["n"] * 64 + size["k"] * 8, 1), mine, "left")
-    kept = F.filter(F.split(of("text"), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    each = F.zip_with(F.split(of("text"), "\n", -1), marked(F.col("_gone")), lambda x, gone: F.struct(x.alias("x"), gone.alias("gone")))
+    kept = F.transform(F.filter(each, lambda s: F.coalesce(s["gone"], F.lit(0)) == 0), lambda s: s["x"])
     return docs.select(
         "_doc",
         F.when(F.col("_gone").isNull(), of("text")).otherwise(F.array_join(kept, "\n")).alias("_text"),

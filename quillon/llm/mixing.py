@@ -3,13 +3,16 @@
 A classifier fitted on the labelled table gives each document posteriors of
 the domains. Rates, one for each document and none negative, are chosen so
 that the expected tokens of each domain, sum(rate * tokens * posterior), meet
-the targets in the least-squares sense, while rates stay near one: projected
-gradient steps, each one aggregation in Spark.
+the targets in the least-squares sense, from rates of one on: projected
+gradient steps, each one aggregation in Spark. Misses are weighed by the
+inverse of the domains' second moments, so that a scarce domain's target is
+met as closely, and as soon, as an ample one's.
 
-Posteriors are whole thousandths. Documents with equal posteriors have equal
-rates at every step, so the steps run on one row for each posterior that
+Posteriors are whole ten-thousandths. Documents with equal posteriors have
+equal rates at every step, so the steps run on one row for each posterior that
 occurs; their number is bounded by the grid, not by the data. A document's
-rate follows from its posteriors and the steps' residuals alone.
+rate follows from its posteriors and the steps' residuals alone. What the
+rounding of posteriors moves is tested to be under a hundredth of each target.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import of, packed, small, stored
+from .common import discard, of, packed, small, stored
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the token budget.
@@ -33,10 +36,11 @@ TARGETS = {"good": 0.84, "poor": 0.15, "toxic": 0.01}
 TRAIN_ROWS = 20_000
 #: Words in the lexicon, and how many labelled documents must hold one.
 LEXICON, LEAST = 100, 5
-GRID = 1000
-#: Pull of the rates to one, against the squared misses of the targets' shares.
-PULL = 1e-3
-STEPS, KEEP = 80, 10
+GRID = 10_000
+#: Steps at most; they end once all misses are under this share of their targets, or no longer change.
+STEPS, CLOSE = 60, 1e-4
+#: The state is written after so many steps.
+KEEP = 10
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,'-")
@@ -56,18 +60,23 @@ class Classifier:
     lexicon: dict[bytes, int]
     weights: np.ndarray  # [words of the lexicon + SHAPES + 1, domains]
 
-    def posterior(self, text: str | None) -> tuple[int, list[int]]:
-        """Tokens, and thousandths for each domain, which sum to GRID; ties of rounding go to the first domains."""
+    def exact(self, text: str | None) -> tuple[int, np.ndarray]:
+        """Tokens and the domains' posteriors."""
         raw = (text or "").encode("utf-8")
         words = _WORD.findall(raw.lower())
         at = [self.lexicon[w] for w in set(words) & self.lexicon.keys()]
         dense = np.array([*shape(raw, words), 1.0])
         z = self.weights[at].sum(axis=0) + dense @ self.weights[len(self.lexicon) :]
         p = np.exp(z - z.max())
-        exact = p / p.sum() * GRID
+        return len(words), p / p.sum()
+
+    def posterior(self, text: str | None) -> tuple[int, list[int]]:
+        """Tokens, and ten-thousandths for each domain, which sum to GRID; ties of rounding go to the first domains."""
+        n, p = self.exact(text)
+        exact = p * GRID
         q = np.floor(exact).astype(int)
         q[np.argsort(q - exact, kind="stable")[: GRID - q.sum()]] += 1
-        return len(words), q.tolist()
+        return n, q.tolist()
 
 
 def _sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -139,7 +148,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, steps:
 
 
 def with_posteriors(documents: DataFrame, classifier: Classifier) -> DataFrame:
-    """Per row of documents: _doc (all its columns), _tokens and _q, thousandths for each domain."""
+    """Per row of documents: _doc (all its columns), _tokens and _q, ten-thousandths for each domain."""
     shared = documents.sparkSession.sparkContext.broadcast(classifier)
     rows = packed(documents).select("_doc", of("text").alias("_text"))
 
@@ -152,47 +161,50 @@ def with_posteriors(documents: DataFrame, classifier: Classifier) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["_doc"]]).add("_tokens", T.LongType()).add("_q", T.ArrayType(T.IntegerType())))
 
 
-def _moved(q: Column, r: Column, look: Column, moves: list[list[float]], pull: float = PULL, least: Column | None = None) -> Column:
-    """(r, look) after moves: each holds a step's misses by domain, and the momentum that follows it."""
-    start = F.struct(r.alias("r"), look.alias("look"))
+def _moved(q: Column, r: Column, moves: list[list[float]], least: Column) -> Column:
+    """The rate r after moves, each a step's weighed misses by domain: never below least."""
     if not moves:
-        return start
-    plan, step = F.array(*[F.array(*map(F.lit, m)) for m in moves]), 1 / (1 + pull)
-
-    def move(s: Column, m: Column) -> Column:
-        slope = sum((F.get(m, F.lit(d)) * F.get(q, F.lit(d)) / GRID for d in range(len(DOMAINS))), F.lit(0.0))
-        new = F.greatest(F.lit(0.0) if least is None else least, s["look"] - step * (slope + pull * (s["look"] - 1)))
-        return F.struct(new.alias("r"), (new + F.get(m, F.lit(len(DOMAINS))) * (new - s["r"])).alias("look"))
-
-    return F.aggregate(plan, start, move, lambda s: s)
+        return r
+    slope = lambda m: sum((F.get(m, F.lit(d)) * F.get(q, F.lit(d)) / GRID for d in range(len(DOMAINS))), F.lit(0.0))
+    return F.aggregate(F.array(*[F.array(*map(F.lit, m)) for m in moves]), r, lambda now, m: F.greatest(least, now - slope(m)))
 
 
-def solve(cells: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, steps: int = STEPS, least: Column | None = None) -> DataFrame:
-    """(_q, rate) of cells (_q, tokens): accelerated projected steps from rates of one on, rounded to six decimals.
+def solve(cells: DataFrame, targets: dict[str, float] | None = None, budget: float | None = 1.0, steps: int = STEPS, least: Column | None = None) -> DataFrame:
+    """(_q, rate) of cells (_q, tokens): projected steps from rates of one on, rounded to six decimals.
 
-    Each step is one aggregation that returns one row, the misses of the
-    targets' shares. The cells' state is written every KEEP steps, so that a
-    step works off the few moves since. No rate falls below least, if given, or zero.
+    Each step is one aggregation that returns one row: the domains' totals,
+    and the second moments of the posteriors over the rates that are off their
+    bound, by whose inverse the misses are weighed. A step after which the
+    misses have grown halves those that follow. The cells' state is written
+    every KEEP steps, so that a step works off the few moves since. No rate
+    falls below least, if given, or zero. The targets are shares of budget
+    times all tokens, or without a budget of what the rates make.
     """
-    want = [budget * (targets or TARGETS)[d] for d in DOMAINS]
+    k, bound = len(DOMAINS), F.lit(0.0) if least is None else least
+    shares = np.array([(targets or TARGETS)[d] for d in DOMAINS])
+    # misses are read @ totals - want
+    read, want = (np.eye(k) - np.outer(shares, np.ones(k)), 0 * shares) if budget is None else (np.eye(k), budget * shares)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    state = cells.select("_q", "tokens", F.lit(1.0).alias("r"), F.lit(1.0).alias("look"))
+    state = cells.select("_q", "tokens", F.lit(1.0).alias("r"))
     moves: list[list[float]] = []
-    t, last = 1.0, None
+    length, best, last = 1.0, np.inf, None
     for step in range(steps if total else 0):
         if len(moves) == KEEP:
-            now = state.select("_q", "tokens", _moved(F.col("_q"), F.col("r"), F.col("look"), moves, least=least).alias("s"))
-            state, moves = stored(now.select("_q", "tokens", "s.r", "s.look"), "rates"), []
-        look = _moved(F.col("_q"), F.col("r"), F.col("look"), moves, least=least)["look"]
-        sums = state.select("tokens", "_q", look.alias("l")).agg(*[F.sum(F.col("tokens") * F.col("l") * F.get("_q", F.lit(d))) for d in range(len(DOMAINS))]).first()
-        miss = [x / GRID / total - w for x, w in zip(sums, want)]
-        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        moves.append([*miss, (t - 1) / after])
-        t = after
-        if last and max(abs(a - b) for a, b in zip(miss, last)) < 1e-6:
+            old, state, moves = state, stored(state.select("_q", "tokens", _moved(F.col("_q"), F.col("r"), moves, bound).alias("r")), "rates"), []
+            if step > KEEP:
+                discard(old)
+        now = state.select("tokens", "_q", _moved(F.col("_q"), F.col("r"), moves, bound).alias("r"), bound.alias("least"))
+        share = [F.get("_q", F.lit(d)).cast("double") for d in range(k)]
+        free = F.when(F.col("r") > F.col("least"), F.col("tokens")).otherwise(0)
+        sums = now.agg(*[F.sum(F.col("tokens") * F.col("r") * share[d]) for d in range(k)], *[F.sum(free * share[a] * share[b]) for a in range(k) for b in range(k)]).first()
+        got, moments = np.array(sums[:k]) / GRID / total, np.array(sums[k:]).reshape(k, k) / GRID**2 / total
+        miss = read @ got - want
+        worst = float(np.abs(miss / np.maximum(shares * (got.sum() if budget is None else budget), 1e-9)).max())
+        if worst < CLOSE or last is not None and np.abs(miss - last).max() < 1e-9:
             break
-        last = miss
-    return state.select("_q", F.round(_moved(F.col("_q"), F.col("r"), F.col("look"), moves, least=least)["r"], 6).alias("rate"))
+        length, best, last = length / 2 if worst > best else length, min(best, worst), miss
+        moves.append((length * read.T @ np.linalg.pinv(read @ moments @ read.T, rcond=1e-9, hermitian=True) @ miss).tolist())
+    return state.select("_q", F.round(_moved(F.col("_q"), F.col("r"), moves, bound), 6).alias("rate"))
 
 
 def _rated(found: DataFrame, rates: DataFrame) -> DataFrame:
@@ -216,28 +228,22 @@ def _clean(q: Column) -> Column:
     return F.get(q, F.lit(0)) >= F.array_max(q)
 
 
-def _least_budget(cells: DataFrame, targets: dict[str, float] | None) -> float:
-    """The smallest budget, one at least, in which clean documents read once leave each domain within its target."""
-    sums = cells.agg(F.sum("tokens"), *[F.sum(F.when(_clean(F.col("_q")), F.col("tokens") * F.get("_q", F.lit(d)))) for d in range(len(DOMAINS))]).first()
-    want = [(targets or TARGETS)[d] for d in DOMAINS]
-    return max([1.0, *((x or 0) / GRID / sums[0] / w for x, w in zip(sums[1:], want) if sums[0] and w > 0)])
-
-
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
     """documents with a rate above zero, with rate, copies (how often each is to be read) and the posteriors; a column that has such a name already gives way.
 
     Documents that are likeliest clean have rates of one or more, whatever the
-    budget; without one, it is the smallest that lets the targets be met so.
+    budget; without one, the targets are shares of what the rates make.
     copies is the rate rounded up or down by chance, so that it is right on
     average; it can be zero where the rate is below one. A null or empty text
     has no tokens and moves no total. Without labels all domains are alike;
     without tokens all rates are one.
     """
     classifier = fit(documents, labels)
-    cells = _cells(with_posteriors(documents.select("text"), classifier).select("_tokens", "_q"))
-    least = F.when(_clean(F.col("_q")), F.lit(1.0)).otherwise(F.lit(0.0))
-    rates = stored(solve(cells, targets, _least_budget(cells, targets) if budget is None else budget, least=least), "rates")
     found = with_posteriors(documents, classifier).withColumn("_chance", _chance(of("doc_id"), of("text")))
+    found = stored(found, "rows-with-posteriors")  # whole rows, so that each text is read once after the fit
+    cells = _cells(found.select("_tokens", "_q"))
+    least = F.when(_clean(F.col("_q")), F.lit(1.0)).otherwise(F.lit(0.0))
+    rates = stored(solve(cells, targets, budget, least=least), "rates")
     new = [F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *_named()]
     taken = {"rate", "copies", *(f"p_{d}" for d in DOMAINS)}
     return _rated(found, rates).where("_rate > 0").select(*[of(c).alias(c) for c in documents.columns if c.lower() not in taken], *new)

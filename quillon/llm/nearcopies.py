@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import NO_ID, one_of_each, small, stored
+from .common import NO_ID, discard, one_of_each, small, stored
 from .components import components
 from .substrings import rolling, word_hashes
 
@@ -149,7 +149,9 @@ class _Search:
         texts = self.texts(pairs.select(F.col("x").alias("e")).union(pairs.select("y")).distinct())
         met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), F.col("x") == F.col("a"))
         met = met.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), F.col("y") == F.col("b"))
-        return stored(met.select("x", "y", "ta", "tb").mapInArrow(_compared, "x long, y long, shared int, total int"), "judged")
+        judged = stored(met.select("x", "y", "ta", "tb").mapInArrow(_compared, "x long, y long, shared int, total int"), "judged")
+        discard(pairs, texts)
+        return judged
 
     def texts(self, wanted: DataFrame) -> DataFrame:
         """(node, text) of the wanted nodes (e)."""
@@ -157,7 +159,9 @@ class _Search:
         n = wanted.count()
         own = stored(self.nodes.join(small(wanted, n, 16), F.col("node") == F.col("e"), "left_semi").select("node", F.col("id").alias("i"), F.col("tag").alias("t")), "wanted")
         texts = self.keyed.join(small(own, n, 40), (F.col("id") == F.col("i")) & (F.col("tag") == F.col("t"))).select("node", "text")
-        return stored(texts.dropDuplicates(["node"]) if self.repeated else texts, "texts")
+        texts = stored(texts.dropDuplicates(["node"]) if self.repeated else texts, "texts")
+        discard(wanted, own)
+        return texts
 
     def near(self, pairs: DataFrame) -> DataFrame:
         return self.judged(pairs).where(_near(F.col("shared"), F.col("total"))).select("x", "y")
@@ -177,7 +181,9 @@ class _Search:
         at = at.join(roots.withColumnRenamed("node", "o"), F.col("node") == F.col("o"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         at = stored(at, "band-rows")
         apart = stored(at.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("k", "c"), "apart")
-        return stored(at.join(apart, F.col("key") == F.col("k")).select("key", "node", "n", "root", "c"), "members")
+        members = stored(at.join(apart, F.col("key") == F.col("k")).select("key", "node", "n", "root", "c"), "members")
+        discard(at, apart)
+        return members
 
 
 def _crossing(left: DataFrame, fits: Column) -> DataFrame:
@@ -191,7 +197,10 @@ def _apart(rows: DataFrame) -> DataFrame:
     """rows (key, root and more) of the keys that hold several groups."""
     rows = stored(rows, "key-rows")
     apart = rows.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    return stored(rows.join(stored(apart, "apart"), F.col("key") == F.col("k"), "left_semi"), "still-apart")
+    apart = stored(apart, "apart")
+    left = stored(rows.join(apart, F.col("key") == F.col("k"), "left_semi"), "still-apart")
+    discard(rows, apart)
+    return left
 
 
 def _crowded(search: _Search, crowd: DataFrame) -> DataFrame:

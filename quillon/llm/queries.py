@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, lines, mixing, pii, sampling, secrets, simhash, substrings, urls
-from .common import of, sha256_hex, table
+from .common import of, sha256_hex, shared_dir, table
 
 
 def _joined(spans) -> "F.Column":
@@ -53,7 +56,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    atexit.register(ledger.clear)
+    ledger.record(docs)
+    found = ledger.update(docs)  # every blob is on record by now: no text is scanned again
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
     return found.select("doc_id", *map(count, secrets.BASE), sha256_hex(_joined(base)).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _remove, sha256_hex, stored
+from .common import _remove, fits, sha256_hex, stored
 
 
 @dataclass(frozen=True)
@@ -89,8 +89,13 @@ def scan_unseen(documents: DataFrame, ledger: DataFrame | None = None, rules: tu
     else:
         seen = ledger.select(F.col("blob_id").alias("_b"), F.concat_ws("@", "rule", "version").alias("_l"))
         seen = seen.where(F.col("_l").isin(labels)).groupBy("_b").agg(F.collect_set("_l").alias("_seen"))
-        blobs = blobs.join(seen, F.col("blob_id") == F.col("_b"), "left").withColumn("_seen", F.coalesce("_seen", none_seen))
-        blobs = blobs.where(F.size("_seen") < len(labels)).groupBy("blob_id").agg(F.first("_text").alias("_text"), F.first("_seen").alias("_seen"))
+        # addresses alone tell what is unseen: texts are moved only for that
+        ids = blobs.select("blob_id").distinct().join(seen, F.col("blob_id") == F.col("_b"), "left")
+        ids = ids.select(F.col("blob_id").alias("_id"), F.coalesce("_seen", none_seen).alias("_seen")).where(F.size("_seen") < len(labels))
+        unseen = stored(ids, "unseen")
+        if fits(unseen.count(), 128 + 24 * len(labels)):
+            blobs = blobs.join(F.broadcast(unseen.select(F.col("_id").alias("_of"))), F.col("blob_id") == F.col("_of"), "left_semi")
+        blobs = blobs.groupBy("blob_id").agg(F.first("_text").alias("_text")).join(unseen, F.col("blob_id") == F.col("_id")).drop("_id")
     scanned = blobs.select("blob_id", F.explode(F.array_except(F.array(*map(F.lit, labels)), "_seen")).alias("_l"))
     scanned = scanned.select("blob_id", F.split("_l", "@")[0].alias("rule"), F.split("_l", "@")[1].cast("int").alias("version"))
 
@@ -143,8 +148,8 @@ class Ledger:
     def findings(self) -> DataFrame:
         return self._read("findings", "blob_id string, kind string, version int, start bigint, end bigint").distinct()
 
-    def update(self, documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """Scans what is new, records it, and returns the spans of all paths under the present rule versions.
+    def record(self, documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
+        """Scans what is new and records it.
 
         Findings are written before the ledger: a run that breaks off between
         the two is scanned again, and equal findings count once.
@@ -152,6 +157,10 @@ class Ledger:
         new, scanned = scan_unseen(documents, self.seen(), rules)
         new.write.mode("append").parquet(f"{self.folder}/findings")
         scanned.write.mode("append").parquet(f"{self.folder}/seen")
+
+    def update(self, documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Records what is new, and returns the spans of all paths under the present rule versions."""
+        self.record(documents, rules)
         now = F.concat_ws("@", "kind", "version").isin([r.label for r in rules])
         return spans_by_path(documents, self.findings().where(now), rules)
 

@@ -5,6 +5,10 @@ an odd base, got for all windows of a text from one running sum. A window is
 repeated if its hash also comes from a smaller document; repeated windows
 merge into maximal intervals of words, which are removed.
 
+Windows count as equal by 96 bits: that hash, and the upper half of a second
+one that shares neither word hashes nor base. Of W windows some W**2 / 2**97
+pairs are taken for equal by chance: one in 1,500 runs over 10**13 windows.
+
 Few windows are repeated, and only such need to be counted in Spark. Each
 window names its anchor, the least hash of the eight-word grams in it. Equal
 windows have equal anchors, so a window whose anchor comes from one document
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +33,32 @@ from .common import NO_ID, small, stored
 
 WINDOW = 50
 GRAM = 8
-BASE = 0x9E3779B97F4A7C15
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Seed of the second hash's word hashes.
+OTHER_SEED = 77
 #: Rows that repeat an id are told apart by so many bits of their texts' hash.
 TAG_BITS = 31
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    up = np.full(n, BASE, dtype=np.uint64)
-    down = np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64)
+    up = np.full(n, base, dtype=np.uint64)
+    down = np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+    if seed:
+        return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), dtype=np.uint64, count=len(words))
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def rolling(hashes: np.ndarray, *lengths: int) -> list[np.ndarray]:
+def rolling(hashes: np.ndarray, *lengths: int, base: int = BASE) -> list[np.ndarray]:
     """For each length the hashes of all windows of so many words."""
     n = len(hashes)
-    up, down = _powers(1 << max(10, int(n).bit_length()))
+    up, down = _powers(1 << max(10, int(n).bit_length()), base)
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[:n])))
     return [(sums[k:] - sums[: n + 1 - k]) * down[: n + 1 - k] for k in lengths]
 
@@ -66,13 +75,15 @@ def anchors(grams: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(least[: len(least) - extra], least[extra:]) if extra else least
 
 
-def _windows(text: str, window: int) -> tuple[np.ndarray, np.ndarray] | None:
+def _windows(text: str, window: int, more: bool = False) -> tuple[np.ndarray, ...] | None:
+    """Hashes and anchors of all windows; with more also the upper half of their second hash."""
     words = text.encode("utf-8").split()
     if len(words) < window:
         return None
     gram = min(GRAM, window)
     whole, grams = rolling(word_hashes(words), window, gram)
-    return whole, anchors(grams, window - gram + 1)
+    found = whole, anchors(grams, window - gram + 1)
+    return (*found, (rolling(word_hashes(words, OTHER_SEED), window, base=OTHER_BASE)[0] >> np.uint64(32)).astype(np.uint32)) if more else found
 
 
 def _anchor_rows(window: int):
@@ -97,11 +108,12 @@ def _window_rows(window: int):
         for b in batches:
             ids, tags = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for k in range(b.num_rows):
-                whole, anchor = _windows(b.column(2)[k].as_py(), window)
+                whole, anchor, other = _windows(b.column(2)[k].as_py(), window, True)
                 shared = b.column(3)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.flatnonzero(np.isin(anchor, shared))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole[at].view(np.int64)), pa.array(np.full(len(at), ids[k])), pa.array(at | (tags[k] << 32))], names=["hash", "id", "at"]
+                    [pa.array(whole[at].view(np.int64)), pa.array(other[at].view(np.int32)), pa.array(np.full(len(at), ids[k])), pa.array(at | (tags[k] << 32))],
+                    names=["hash", "other", "id", "at"],
                 )
 
     return run
@@ -144,13 +156,14 @@ def intervals(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = _keyed(documents)
     marks = stored(docs.mapInArrow(_anchor_rows(window), "anchor long, id long, tag long"), "anchors")
     shared = marks.groupBy(F.col("anchor").alias("a")).agg(F.min("id").alias("f"), F.max("id").alias("l")).where("f < l").select("a")
+    shared = stored(shared, "shared-anchors")  # so that the rows of a hot anchor can be split in the join
     wanted = marks.join(shared, F.col("anchor") == F.col("a")).groupBy(F.col("id").alias("i"), F.col("tag").alias("t")).agg(F.collect_set("anchor").alias("anchors"))
     named = docs.join(wanted, (F.col("id") == F.col("i")) & (F.col("tag") == F.col("t"))).select("id", "tag", "text", "anchors")
     run = _window_rows(window)
-    rows = named.mapInArrow(lambda batches: _merged(run(batches)), "hash long, id long, at long")
-    first = rows.groupBy(F.col("hash").alias("h")).agg(F.min("id").alias("f"), F.max("id").alias("l")).where("f < l").select("h", "f")
+    rows = named.mapInArrow(lambda batches: _merged(run(batches)), "hash long, other int, id long, at long")
+    first = rows.groupBy(F.col("hash").alias("h"), F.col("other").alias("o")).agg(F.min("id").alias("f"), F.max("id").alias("l")).where("f < l").select("h", "o", "f")
     first = stored(first, "repeated")  # so that the rows of a hot window can be split in the join
-    again = rows.join(first, F.col("hash") == F.col("h")).where("id > f")
+    again = rows.join(first, (F.col("hash") == F.col("h")) & (F.col("other") == F.col("o"))).where("id > f")
     again = again.select("id", F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"))
     found = again.groupBy("id", "tag").agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most the words of one text
     n = F.size("at")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small, stored
+from .common import ascii_lower, fits, stored
 
 #: Longest gram: four characters of context and the one after them.
 ORDER = 5
@@ -91,14 +91,29 @@ def model(labelled: DataFrame) -> DataFrame:
     return out.select(F.col("_g").alias("gram"), F.col("_n").alias("n"), F.floor(F.col("_d") * UNIT + 0.5).cast("bigint").alias("delta"))
 
 
-def score(urls: DataFrame, table: DataFrame, grams: int, *keep: str) -> DataFrame:
-    """keep and score, the log-likelihood ratio a character, of distinct rows (keep, _u)."""
-    g = _grams(urls, *keep, "_u")
-    hit = g.join(small(table, grams, 200), F.col("_g") == F.col("gram"), "left")
-    total = hit.groupBy(*keep, "_u").agg(F.sum(F.coalesce("delta", F.lit(0))).alias("_t"))
+def score(urls: DataFrame, table: DataFrame, table_bytes: int, *keep: str) -> DataFrame:
+    """keep and score, the log-likelihood ratio a character, of distinct rows (keep, _u).
+
+    A table that may not be broadcast is joined by shuffle, of the grams with
+    a 128-bit name of their URL: the URL itself is not sent with each gram.
+    """
+    if fits(1, table_bytes):
+        hit = _grams(urls, *keep, "_u").join(F.broadcast(table), F.col("_g") == F.col("gram"), "left")
+        total = hit.groupBy(*keep, "_u").agg(F.sum(F.coalesce("delta", F.lit(0))).alias("_t"))
+    else:
+        name = [F.xxhash64("_u").alias("_a"), F.xxhash64(F.lit(1), F.col("_u")).alias("_b")]
+        hit = named_grams(urls, name).join(table, F.col("_g") == F.col("gram"))
+        sums = hit.groupBy("_a", "_b").agg(F.sum("delta").alias("_s")).select(F.col("_a").alias("_sa"), F.col("_b").alias("_sb"), "_s")
+        total = urls.select(*keep, "_u", *name).join(sums, (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb")), "left")
+        total = total.select(*keep, "_u", F.coalesce("_s", F.lit(0)).alias("_t"))
     return total.withColumn("score", F.col("_t") / F.lit(float(UNIT)) / (F.length("_u") + 1)).drop("_t")
 
 
+def named_grams(urls: DataFrame, name: list[Column]) -> DataFrame:
+    """(_a, _b, _g) of distinct URLs (_u)."""
+    return _grams(urls.select("_u", *name), "_a", "_b").select("_a", "_b", "_g")
+
+
 def threshold(scored: DataFrame) -> float:
     """The score that tells rejected from accepted URLs best, from rows (score, _bad, _m), _m being a number of URLs.
 
@@ -138,11 +153,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     labelled = rows.where("_v is not null").select("_u", (F.col("_v") == "block").alias("_bad"))
     held = F.substring(F.md5(F.encode("_u", "UTF-8")), 1, 1).isin(*HELD_OUT)
     table = stored(model(labelled.where(~held)), "url-model")
-    grams = table.count()
-    held_scores = score(labelled.where(held).groupBy("_u", "_bad").agg(F.count("*").alias("_m")), table, grams, "_bad", "_m")
+    grams, text = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0))).first()
+    size = 64 * grams + text
+    held_scores = score(labelled.where(held).groupBy("_u", "_bad").agg(F.count("*").alias("_m")), table, size, "_bad", "_m")
     cut = threshold(held_scores)
     # each distinct url is scored once, which also takes the heat out of a url that many rows share
-    scores = score(rows.where("_u <> ''").select("_u").distinct(), table, grams).select(F.col("_u").alias("_su"), "score")
+    scores = score(rows.where("_u <> ''").select("_u").distinct(), table, size).select(F.col("_u").alias("_su"), "score")
     out = rows.join(scores, F.col("_u") == F.col("_su"), "left")
     by_model = F.when(F.col("score") >= cut, "block").otherwise("allow") if grams else F.lit("allow")
     return out.select("page_id", "url", "host", "path", "rule", F.coalesce("_v", by_model).alias("verdict"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -1,6 +1,6 @@
 import re
 
-from quillon.llm import decontaminate
+from quillon.llm import common, decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -15,14 +15,14 @@ def brute(text, items):
     for i, t in items:
         b = words(t)
         n = min(8, len(b))
-        if i is None or not n:
+        if not n:
             continue
         wins = {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}
         for k in range(len(w) - n + 1):
             if tuple(w[k : k + n]) in wins:
                 hit |= set(range(k, k + n))
-                found.add(str(i))
-    return len(w), len(hit), sorted(found)
+                found.add(i)
+    return len(w), len(hit), len(found), sorted(str(i) for i in found if i is not None)
 
 
 ITEMS = [(1, "one two three four five six seven eight nine"), (2, "Lone"), (3, "a b c"), (4, None), (None, "ghost words here"), (5, ""), (12, "one two three four five six seven eight nine"), (7, "\u00c9t\u00e9 na\u00efve 5G")]
@@ -34,7 +34,7 @@ def test_against_brute_force(frame, benchmark):
         "ghost words here", "w " * 40_000 + "a b c",
     ]
     docs = frame([(i, t, "en", "s") for i, t in enumerate(texts)])
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, benchmark(ITEMS)).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, list(r["items"])) for r in decontaminate.contamination(docs, benchmark(ITEMS)).collect()}
     assert got == {i: brute(t, ITEMS) for i, t in enumerate(texts)}
 
 
@@ -61,3 +61,16 @@ def test_empty(frame, benchmark):
     assert [(r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, benchmark([])).collect()] == [(2, 0, 0)]
     assert decontaminate.contamination(docs.limit(0), benchmark([(1, "a b")])).count() == 0
     assert decontaminate.decontaminate(docs, benchmark([])).count() == 1
+
+
+def test_without_any_broadcast(spark, frame, benchmark, odd, monkeypatch):
+    """A benchmark beyond the broadcast's bound: the same rows, and neither words nor texts of windows in a shuffle."""
+    docs, items = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    rows = lambda d, b: sorted(map(repr, decontaminate.contamination(d, b).select("doc_id", "n_words", "n_hit", "n_items", "items", "contaminated").collect()))
+    mine = benchmark([(1, "alpha beta gamma alpha"), (2, "beta gamma")])
+    before = rows(docs, items), rows(odd, mine), sorted(map(repr, decontaminate.decontaminate(docs, items).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert (rows(docs, items), rows(odd, mine), sorted(map(repr, decontaminate.decontaminate(docs, items).collect()))) == before
+    light = decontaminate._candidates(docs, [8], []).select("id", "_key", "_pos", "_len", "_wh0").repartition("_wh0")
+    sent = light._jdf.queryExecution().optimizedPlan().output().mkString(",")
+    assert [x.partition("#")[0] for x in sent.split(",")] == ["id", "_key", "_pos", "_len", "_wh0"]

@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from quillon.llm import urls
+from quillon.llm import common, urls
 
 DATA = "/root/testdata/sf0.001"
 
@@ -100,3 +100,16 @@ def test_odd_urls(spark):
 
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_without_any_broadcast(spark, monkeypatch):
+    """A model beyond the broadcast's bound: the same rows, and no URL in what is shuffled by gram."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    before = sorted(map(repr, urls.judge(pages).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(repr, urls.judge(pages).collect())) == before
+    from pyspark.sql import functions as F
+
+    named = urls.named_grams(pages.select(F.col("url").alias("_u")).distinct(), [F.xxhash64("_u").alias("_a"), F.xxhash64(F.lit(1), F.col("_u")).alias("_b")])
+    sent = named.repartition("_g")._jdf.queryExecution().optimizedPlan().output().mkString(",")
+    assert [x.partition("#")[0] for x in sent.split(",")] == ["_a", "_b", "_g"]

@@ -1,19 +1,24 @@
 """Personal data: base patterns, and a trained character tagger that adds to them.
 
 The tagger learns from labelled spans: windows of the corpus around the base
-matches and around other digits, and the same windows with their matches
-rewritten the way people hide them (``a [at] b [dot] c``, ``1[.]2[.]3[.]4``,
-phones without a plus). Every span of the four kinds holds a digit, an at
-sign or one of the written-out marks, so only overlapping windows around
-those are decoded; elsewhere all tags are O. Where windows overlap, a
-character takes its tag from the window it is most central in, and spans are
-read off the tags of the whole text.
+matches and around other digits, the same windows with their matches rewritten
+the way people hide them (``a [at] b [dot] c``, ``1[.]2[.]3[.]4``, phones
+without a plus), and windows without a match that get such a span.
+
+What it adds must have the form of its kind (:data:`FORMS`), and every such
+form holds a digit, an at sign or a written-out ``at`` (:data:`_MARK`). So only
+overlapping windows around those marks are decoded: a span that holds none of
+them could not be added. Where windows overlap, a character's emissions are
+their mean, weighed by how central it is in each, and one Viterbi search runs
+over the whole stretch of windows that touch. A span that is found is set to
+the bounds of the form that it lies on.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tagger import KINDS, WIDTH, Tagger, encode
+from .common import stored
+from .tagger import KINDS, TAGS, WIDTH, Tagger, encode
 
 #: Windows that train the tagger: so many with base matches, so many without (the bound of the labelled sample).
 TRAIN_WINDOWS = 1500
@@ -38,6 +44,17 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]|[\[({ ](?:at|AT)[\])} ]")
 _DIGIT = re.compile(r"[0-9@]")
 
+_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?"
+_AT = r"(?:\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?|\s@\s?|@\s)"
+_DOT = r"(?:\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?|\.)"
+#: By kind, what a span that the tagger adds looks like: an e-mail hidden by brackets or by spaces, an address by brackets or spaces, a card as in base, a phone of three groups or more.
+FORMS = (
+    re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{_NAME}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+|{_NAME}\s(?:at|AT)\s[A-Za-z0-9-]+(?:\s(?:dot|DOT)\s[A-Za-z0-9-]+)+|{_NAME}@[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)"),
+    re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\s?[\[({]\.[\])}]\s?|\s\.\s?|\.\s?)[0-9]{1,3}){3}(?![0-9])"),
+    re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){15,18}(?![0-9])"),
+    re.compile(r"(?<![0-9])(?:tel:|\()?[0-9]{3,5}(?:[ .-][0-9]{2,9}){2,3}(?![0-9])"),
+)
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -93,6 +110,17 @@ def _window_of(text: str, centre: int) -> tuple[int, int]:
     return start, min(len(text), start + WIDTH)
 
 
+def free_mark(text: str, base: list[tuple[int, int, int]]) -> int | None:
+    """The first mark outside all base spans."""
+    spans, upto, k = sorted(base, key=lambda x: x[1]), 0, 0
+    for m in _MARK.finditer(text):
+        while k < len(spans) and spans[k][1] <= m.start():
+            upto, k = max(upto, spans[k][2]), k + 1
+        if m.start() >= upto:
+            return m.start()
+    return None
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text one window around a base match and one around another digit, if it has such; texts are told apart by what they hold, so any order gives the same."""
     for b in batches:
@@ -107,8 +135,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(text[lo:hi])
                 spans.append([x for k, s, e in base if lo <= s and e <= hi for x in (k, s - lo, e - lo)])
                 found.append(True)
-            free = [m.start() for m in _MARK.finditer(text) if not any(s <= m.start() < e for _, s, e in base)][:1]
-            for at in free:
+            at = free_mark(text, base)
+            if at is not None:
                 lo, hi = _window_of(text, at)
                 texts.append(text[lo:hi])
                 spans.append([x for k, s, e in base if s < hi and e > lo for x in (k, max(s, lo) - lo, min(e, hi) - lo)])
@@ -121,7 +149,7 @@ def hidden(kind: int, s: str, rnd: random.Random) -> str:
     if kind == 0:
         left, right = rnd.choice([("[", "]"), ("(", ")"), (" ", " "), (" [", "] "), (" (", ") ")])
         user, _, domain = s.partition("@")
-        dot = f"{left}dot{right}" if rnd.random() < 0.7 else "."
+        dot = f"{left}dot{right}" if left == " " or rnd.random() < 0.7 else "."
         return f"{user}{left}at{right}{domain.replace('.', dot)}"
     if kind == 1:
         return s.replace(".", rnd.choice(["[.]", "(.)", " . "]))
@@ -145,10 +173,37 @@ SEEDS = (
 )
 
 
+def invented(kind: int, rnd: random.Random) -> str:
+    """A match of the kind that nobody owns."""
+    num = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rnd.choice("aaabcdeeefghiiijklmnooopqrstuuvwxyz") for _ in range(rnd.randint(2, 9)))
+    if kind == 0:
+        return f"{word()}{rnd.choice(['.' + word(), '', num(2), '_' + word()])}@{word()}.{rnd.choice(['com', 'org', 'net', 'example', 'co.uk'])}"
+    if kind == 1:
+        return ".".join(str(rnd.randint(0, 255)) for _ in range(4))
+    if kind == 3:
+        return f"+{rnd.randint(1, 99)}{rnd.choice([' ', '-', ' ('])}{num(3)}{rnd.choice([' ', '-', ') '])}{num(3)}{rnd.choice([' ', '-'])}{num(4)}"
+    mark = rnd.choice([" ", "-", ""])
+    return mark.join([num(4), num(4), num(4), num(4)])
+
+
+def with_invented(windows: list[tuple[str, list[tuple[int, int, int]]]], rnd: random.Random) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Of each window without a span, the same with an invented one at some white space."""
+    out = []
+    for text, spans in windows:
+        gaps = [m.start() for m in re.finditer(r"\s", text)]
+        if not spans and gaps:
+            at, kind = rnd.choice(gaps), rnd.choice((0, 1, 3))
+            new = invented(kind, rnd)
+            out.append((f"{text[:at]} {new}{text[at:]}", [(kind, at + 1, at + 1 + len(new))]))
+    return out
+
+
 def training_set(windows: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and tags of windows with their spans, once as they are and, if they have any, twice with them hidden."""
+    """Classes and tags of windows with their spans, once as they are and, if they have any, twice with them hidden; and of :func:`with_invented`."""
     rnd = random.Random(seed)
     xs, ys = [], []
+    windows = windows + with_invented(windows, rnd)
     for text, spans in windows:
         for copy in range(3 if spans else 1):
             out, marks, last = "", [], 0
@@ -177,7 +232,7 @@ def training_set(windows: list[tuple[str, list[tuple[int, int, int]]]], seed: in
 
 def labelled_windows(documents: DataFrame, limit: int = TRAIN_WINDOWS) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Up to limit windows with base matches, and as many without: those of the smallest hashes. Bounded, whatever the corpus."""
-    rows = documents.select("text").mapInArrow(_sample, "w string, s array<int>, found boolean").distinct()
+    rows = stored(documents.select("text").mapInArrow(_sample, "w string, s array<int>, found boolean").distinct(), "windows")
     order = [F.xxhash64("w"), "w", "s"]
     got = rows.where("found").orderBy(*order).limit(limit).collect() + rows.where("not found").orderBy(*order).limit(limit).collect()
     return [(r["w"], [tuple(r["s"][i : i + 3]) for i in range(0, len(r["s"]), 3)]) for r in got]
@@ -208,58 +263,103 @@ def starts(text: str) -> list[int]:
 
 
 def plausible(kind: int, s: str) -> bool:
-    """What a span that the tagger adds must hold."""
+    """Whether a whole form of the kind is one: octets, check digits, numbers of digits."""
     d = _digits(s)
-    if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s?[\[({]?\s?(?:@|at|AT)\s?[\])}]?\s?[A-Za-z0-9-]+(?:\s?[\[({]?\s?(?:\.|dot|DOT)\s?[\])}]?\s?[A-Za-z0-9-]+)+", s)) and bool(re.search(r"[@\[({]", s))
+    if not _MARK.search(s):
+        return False
     if kind == 1:
-        parts = re.findall(r"[0-9]+", s)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and bool(re.fullmatch(r"[0-9.\[\](){} ]+", s))
+        return all(int(p) <= 255 for p in re.findall(r"[0-9]+", s))
     if kind == 2:
         return 16 <= len(d) <= 19 and luhn(d)
-    return 8 <= len(d) <= 15 and len(re.findall(r"[0-9]+", s)) >= 3 and bool(re.fullmatch(r"(?:tel:|00|\(|\+)?[0-9][0-9 ().-]*[0-9]", s))
+    return kind == 0 or 8 <= len(d) <= 15
+
+
+def stretches(text: str) -> list[tuple[int, int, list[int]]]:
+    """(start, end, window starts) of the windows that touch."""
+    out: list[tuple[int, int, list[int]]] = []
+    for at in starts(text):
+        end = min(len(text), at + WIDTH)
+        if out and at <= out[-1][1]:
+            start, _, windows = out.pop()
+            windows.append(at)
+            out.append((start, end, windows))
+        else:
+            out.append((at, end, [at]))
+    return out
 
 
-def added_spans(texts: list[str], tagger: Tagger, base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """Of each text, the tagger's spans that overlap no base span."""
-    where = [starts(t) for t in texts]
-    codes = [encode(t) if w else None for t, w in zip(texts, where)]
-    flat = [(i, at) for i, w in enumerate(where) for at in w]
-    tags = [None if c is None else np.zeros(len(c), np.int8) for c in codes]
-    depth = [None if c is None else np.full(len(c), -1, np.int16) for c in codes]
-    centre = np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1]).astype(np.int16)
+def _tags(texts: list[str], tagger: Tagger) -> list[list[tuple[int, np.ndarray]]]:
+    """Of each text, (start, tags) of its stretches."""
+    found = [(i, s, e, at) for i, t in enumerate(texts) for s, e, at in stretches(t)]
+    codes = {i: encode(texts[i]) for i in {x[0] for x in found}}
+    sums = [np.zeros((e - s, TAGS), np.float32) for _, s, e, _ in found]
+    weight = [np.zeros(e - s, np.float32) for _, s, e, _ in found]
+    flat = [(k, at) for k, x in enumerate(found) for at in x[3]]
+    centre = 1 + np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1]).astype(np.float32)
     for lo in range(0, len(flat), 512):
         part = flat[lo : lo + 512]
         x = np.zeros((len(part), WIDTH), np.int64)
-        for row, (i, at) in enumerate(part):
-            c = codes[i][at : at + WIDTH]
+        for row, (k, at) in enumerate(part):
+            c = codes[found[k][0]][at : at + WIDTH]
             x[row, : len(c)] = c
-        for (i, at), t in zip(part, tagger.decode(x)):
+        for (k, at), e in zip(part, tagger.emissions(x)):
+            i, s, _, _ = found[k]
             n = min(WIDTH, len(codes[i]) - at)
+            w = centre[:n].copy()
             # at a text's ends there is nothing more to see
-            c = centre[:n].copy()
             if at == 0:
-                c[: WIDTH // 2] = WIDTH
+                w[: WIDTH // 2] = WIDTH
             if at + n == len(codes[i]):
-                c[n // 2 :] = WIDTH
-            better = c > depth[i][at : at + n]
-            depth[i][at : at + n][better] = c[better]
-            tags[i][at : at + n][better] = t[:n][better]
+                w[n // 2 :] = WIDTH
+            sums[k][at - s : at - s + n] += w[:, None] * e[:n]
+            weight[k][at - s : at - s + n] += w
+    out: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
+    order = sorted(range(len(found)), key=lambda k: len(weight[k]))
+    while order:
+        # stretches of like length together, a bounded number of cells at once
+        many = max(1, min(512, (1 << 18) // len(weight[order[-1]])))
+        group, order = order[-many:], order[:-many]
+        longest = len(weight[group[-1]])
+        e = np.full((len(group), longest, TAGS), -1e4, np.float32)
+        e[:, :, 0] = 0
+        for row, k in enumerate(group):
+            e[row, : len(weight[k])] = sums[k] / weight[k][:, None]
+        for k, t in zip(group, tagger.best(e, True)):
+            out[found[k][0]].append((found[k][1], t[: len(weight[k])]))
+    return out
+
+
+def added_spans(texts: list[str], tagger: Tagger, base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+    """Of each text, the forms that the tagger finds and that overlap no base span, nor each other."""
     out = []
-    for text, t, known in zip(texts, tags, base):
-        found = []
-        if t is not None and t.any():
+    for text, tags, known in zip(texts, _tags(texts, tagger), base):
+        hits: list[tuple[int, int, int]] = []
+        for start, t in tags:
             kind = np.where(t > 0, (t + 1) // 2, 0)
-            begins = np.flatnonzero((t > 0) & ((t % 2 == 1) | (np.concatenate(([0], kind[:-1])) != kind)))
-            for s in begins.tolist():
-                e = s + 1
-                while e < len(t) and t[e] == kind[s] * 2:
-                    e += 1
-                piece = text[s:e]
-                a, b = s + len(piece) - len(piece.lstrip()), e - (len(piece) - len(piece.rstrip()))
-                if a < b and plausible(int(kind[s]) - 1, text[a:b]) and not any(x < b and a < y for _, x, y in known):
-                    found.append((int(kind[s]) - 1, a, b))
-        out.append(found)
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], kind, [0]))))
+            hits += [(int(kind[a]) - 1, start + int(a), start + int(b)) for a, b in zip(edge[:-1], edge[1:]) if kind[a]]
+        found: list[tuple[int, int, int]] = []
+        for k in sorted({h[0] for h in hits}):
+            own = sorted((s, e) for x, s, e in hits if x == k)
+            at = 0
+            for m in FORMS[k].finditer(text):
+                while at < len(own) and own[at][1] <= m.start():
+                    at += 1
+                # the tagger must have at least half of the form
+                covered, j = 0, at
+                while j < len(own) and own[j][0] < m.end():
+                    covered += min(own[j][1], m.end()) - max(own[j][0], m.start())
+                    j += 1
+                if 2 * covered >= m.end() - m.start() and plausible(k, m.group()):
+                    found.append((k, m.start(), m.end()))
+        taken = sorted(((s, e) for _, s, e in known))
+        kept: list[tuple[int, int, int]] = []
+        for k, s, e in sorted(found, key=lambda x: (x[1], x[0])):
+            j = bisect_left(taken, (s, e))
+            clash = any(s < y and x < e for x, y in taken[max(0, j - 4) : j + 4]) or (kept and kept[-1][2] > s)
+            if not clash:
+                kept.append((k, s, e))
+        out.append(kept)
     return out
 
 

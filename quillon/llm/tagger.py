@@ -93,17 +93,22 @@ class Tagger:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Viterbi tags [batch, width] of classes x."""
-        e = self.emissions(x)
+        return self.best(self.emissions(x))
+
+    def best(self, e: np.ndarray, whole: bool = False) -> np.ndarray:
+        """Viterbi tags [batch, width] of emissions; whole: no span began before them."""
         move = self.p["move"] + _allowed()
-        v, back = e[:, 0], np.empty(e.shape, dtype=np.int8)
+        v, back = e[:, 0].copy(), np.empty(e.shape, dtype=np.int8)
+        if whole:
+            v[:, 2::2] -= 1e4
         for t in range(1, e.shape[1]):
             m = v[:, :, None] + move
             back[:, t] = m.argmax(axis=1)
             v = m.max(axis=1) + e[:, t]
-        tags = np.empty(x.shape, dtype=np.int8)
+        tags = np.empty(e.shape[:2], dtype=np.int8)
         tags[:, -1] = v.argmax(axis=1)
-        rows = np.arange(len(x))
-        for t in range(x.shape[1] - 1, 0, -1):
+        rows = np.arange(len(e))
+        for t in range(e.shape[1] - 1, 0, -1):
             tags[:, t - 1] = back[rows, t, tags[:, t]]
         return tags
 
@@ -160,7 +165,7 @@ class Tagger:
         np.add.at(g["embed"], x.reshape(-1), dembedded.reshape(n * width, -1))
         return float((total - gold).mean()), g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 48, rate: float = 0.01, seed: int = 11) -> float:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 1000, batch: int = 48, rate: float = 0.01, seed: int = 11) -> float:
         """Adam over random batches; returns the mean loss of the last twenty steps."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}

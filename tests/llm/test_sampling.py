@@ -59,3 +59,21 @@ def test_odd_rows(odd, frame):
     order = sampling.against_neighbours(frame([(2, "x" * 8, "en", "s"), (None, "n" * 8, "en", "s"), (1, "y" * 8, "en", "s")])).collect()
     assert {r.doc_id: r.edited for r in order} == {1: "y" * 6 + "xx", 2: "x" * 6 + "nn", None: "n" * 6 + "yy"}
     assert sampling.against_neighbours(odd.limit(0)).count() == 0
+
+
+def test_blocks_change_no_signature(monkeypatch):
+    texts = [" ".join(f"w{i % k}" for i in range(3 * k)) for k in (5, 40, 300, 2000)] + ["", "a"]
+    whole = sampling.signatures(texts)
+    for terms in (64, 400):
+        monkeypatch.setattr(sampling, "TERMS", terms)
+        assert (sampling.signatures(texts) == whole).all()
+
+
+def test_a_hot_id_is_cut_by_its_texts(spark):
+    rows = [(None if i % 3 == 0 else i, f"text number {i} " * 5) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sampling.against_neighbours(docs).collect()
+    order = [r for r in docs.selectExpr("coalesce(doc_id, 9223372036854775807) AS id", "xxhash64(text) AS tag", "text").collect()]
+    order.sort(key=lambda r: (r.id, r.tag))
+    want = {r.text: sampling.edited(r.text, order[(n + 1) % len(order)].text) for n, r in enumerate(order)}
+    assert len(got) == 300 and {r.text: r.edited for r in got} == want

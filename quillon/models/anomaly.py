@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import GraphError
 from ..operators.kernels import kernel
-from ..operators.neighbours import distances, kernel_matrix, nearest
+from ..operators.neighbours import distances, kernel_matrix, nearest_by
 from ..operators.registry import Context, Value, dot, matrix, operator, total
 from .forest import CASE_NODES, CASE_TREES, Ensemble, Forest, Tree
 
@@ -75,12 +75,18 @@ class _OutlierFactor:
 
     def _near(self, x: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         metric = {1.0: "manhattan", 2.0: "euclidean"}.get(self.p, "minkowski")
-        d = distances(x, self.refs, metric, self.p)
         k = min(self.k, len(self.refs) - (own is not None))
-        if own is not None:
-            d[np.arange(len(x)), own + np.arange(len(x))] = np.inf
-        at = nearest(d, max(k, 0))
-        return at, np.take_along_axis(d, at, axis=1)
+
+        def distance(a: int, b: int) -> np.ndarray:
+            d = distances(x, self.refs[a:b], metric, self.p)
+            if own is not None:  # no point is its own neighbour
+                mine = own + np.arange(len(x))
+                here = np.flatnonzero((mine >= a) & (mine < b))
+                d[here, mine[here] - a] = np.inf
+            return d
+
+        dist, at = nearest_by(len(self.refs), max(k, 0), distance)
+        return at, dist
 
     def _density(self, index: np.ndarray, dist: np.ndarray) -> np.ndarray:
         return 1 / (np.maximum(self.k_distance[index], dist).mean(axis=1) + 1e-10)

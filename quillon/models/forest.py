@@ -11,7 +11,7 @@ be too large are walked level by level.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,8 @@ CASE_TREES, CASE_NODES = 2, 31
 #: Tables of bit vectors may take so many bytes.
 TABLE_BYTES = 192 << 20
 LEAF = -1
+#: Rows and trees that are worked on at once, so that their tables and bits stay in cache.
+ROWS_AT_ONCE, TREES_AT_ONCE = 256, 64
 _OPS = ("<", "<=", ">", ">=", "==", "!=", "in", "not_in", "is_missing")
 
 
@@ -131,6 +133,7 @@ class Forest:
         self.n_features = n_features
         self.cells: list[np.ndarray] = []
         self.tables: list[np.ndarray] | None = []
+        self.parts: list | None = None
         self._build(spans)
 
     def _build(self, spans: list[dict[int, tuple[int, int]]]) -> None:
@@ -197,27 +200,63 @@ class Forest:
         self.ops = sorted(set(self.flat_op[~leaf].tolist()))
 
     def leaf_numbers(self, x: np.ndarray) -> np.ndarray:
-        return self._walk(x) if self.tables is None else self._bits(x)
+        if self.tables is None:
+            return self._walk(x)
+        out = np.empty((len(x), len(self.trees)), dtype=np.int64)
+        for rows, trees, leaves in self.blocks(x):
+            out[rows, trees] = leaves
+        return out
 
-    def _bits(self, x: np.ndarray, rows: int = 256) -> np.ndarray:
-        n, k = len(x), len(self.trees)
+    def _cells(self, x: np.ndarray) -> list[np.ndarray]:
         cells = []
         for f, cuts in enumerate(self.cells):
-            low = np.searchsorted(cuts, x[:, f], side="left")
-            high = np.searchsorted(cuts, x[:, f], side="right")
-            cells.append(np.where(np.isnan(x[:, f]), 2 * len(cuts) + 1, low + high))
-        out = np.empty((n, k), dtype=np.int64)
-        for at in range(0, n, rows):
-            bits = self.tables[0][cells[0][at : at + rows]]
-            for f in range(1, self.n_features):
-                if len(self.cells[f]):
-                    bits &= self.tables[f][cells[f][at : at + rows]]
-            bits = bits.reshape(-1, k, self.words)
-            first = (bits != 0).argmax(axis=2) if self.words > 1 else 0
-            word = np.take_along_axis(bits, first[:, :, None], axis=2)[:, :, 0] if self.words > 1 else bits[:, :, 0]
-            low = word & (~word + np.uint64(1))
-            out[at : at + rows] = (low.astype(np.float64).view(np.int64) >> 52) - 1023 + 64 * first
-        return out
+            c = np.ascontiguousarray(x[:, f])
+            low, high = np.searchsorted(cuts, c, side="left"), np.searchsorted(cuts, c, side="right")
+            cells.append(np.where(np.isnan(c), 2 * len(cuts) + 1, low + high))
+        return cells
+
+    def _parts(self) -> list[tuple[slice, list[tuple[int, np.ndarray]]]]:
+        """Blocks of trees with the tables of the features that split in them."""
+        if self.parts is None:
+            step = max(1, TREES_AT_ONCE // self.words)
+            used = [f for f in range(self.n_features) if len(self.cells[f]) or f == 0]
+            self.parts = []
+            for a in range(0, len(self.trees), step):
+                b = min(a + step, len(self.trees))
+                self.parts.append((slice(a, b), [(f, np.ascontiguousarray(self.tables[f][:, a * self.words : b * self.words])) for f in used]))
+        return self.parts
+
+    def blocks(self, x: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """(rows, trees, leaf numbers) of all blocks; the numbers' array is used again."""
+        cells = self._cells(x)
+        for trees, tables in self._parts():
+            k = trees.stop - trees.start
+            bits, more = (np.empty((ROWS_AT_ONCE, k * self.words), dtype=np.uint64) for _ in range(2))
+            real = np.empty((ROWS_AT_ONCE, k))
+            for at in range(0, len(x), ROWS_AT_ONCE):
+                rows = slice(at, min(at + ROWS_AT_ONCE, len(x)))
+                n = rows.stop - at
+                got, other = bits[:n], more[:n]
+                for first, (f, table) in enumerate(tables):
+                    np.take(table, cells[f][rows], axis=0, out=other if first else got, mode="clip")
+                    if first:
+                        np.bitwise_and(got, other, out=got)
+                place = 0
+                if self.words > 1:
+                    wide = got.reshape(n, k, self.words)
+                    place = (wide != 0).argmax(axis=2)
+                    got = np.ascontiguousarray(np.take_along_axis(wide, place[:, :, None], axis=2)[:, :, 0])
+                    other = np.empty_like(got)
+                np.negative(got, out=other)
+                np.bitwise_and(got, other, out=got)
+                exponent = real[:n]
+                exponent[...] = got  # the one bit's place is the number's exponent
+                leaves = exponent.view(np.int64)
+                np.right_shift(leaves, 52, out=leaves)
+                leaves -= 1023
+                if self.words > 1:
+                    leaves += 64 * place
+                yield rows, trees, leaves
 
     def _walk(self, x: np.ndarray) -> np.ndarray:
         at = np.broadcast_to(self.root, (len(x), len(self.trees))).copy()
@@ -323,7 +362,19 @@ class Ensemble:
         members = [np.flatnonzero(groups == o) for o in range(self.n_outputs)]
         votes = sum(map(self.weight, range(depth))) or 1.0
 
+        def sums(x: np.ndarray) -> np.ndarray:
+            """One output that adds up: block by block, without a matrix of all leaves."""
+            out = np.zeros(len(x))
+            held = np.empty((ROWS_AT_ONCE, TREES_AT_ONCE))
+            for rows, trees, leaves in forest.blocks(x):
+                leaves += shift[trees]
+                v = np.take(scalar, leaves, out=held.reshape(-1)[: leaves.size].reshape(leaves.shape), mode="clip")
+                out[rows] += v.sum(axis=1)
+            return ((out + self.base[0]) * self.factor())[:, None]
+
         def run(x: np.ndarray) -> np.ndarray:
+            if narrow and self.n_outputs == 1 and self.aggregation in _SUMS and forest.tables is not None:
+                return sums(x)
             at = forest.leaf_numbers(x) + shift
             out = np.empty((len(x), self.n_outputs))
             for o in range(self.n_outputs):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,13 +18,28 @@ PROBIT_EPS = 1e-7
 INVERSE_PI = 0.318309886
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is worked out once a row however often f reads it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def probit(p: Column) -> Column:
-    q = F.greatest(F.lit(PROBIT_EPS), F.least(F.lit(1 - PROBIT_EPS), p))
-    t = F.sqrt(-2.0 * F.log(F.least(q, 1 - q)))
-    top = PROBIT_TOP[0] + t * PROBIT_TOP[1] + t * t * PROBIT_TOP[2]
-    bottom = PROBIT_BOTTOM[0] + t * PROBIT_BOTTOM[1] + t * t * PROBIT_BOTTOM[2] + t * t * t * PROBIT_BOTTOM[3]
-    x = t - top / bottom
-    return F.when(p.isNotNull(), F.when(q < 0.5, -x).otherwise(x))
+    def tail(t: Column) -> Column:
+        top = PROBIT_TOP[0] + t * PROBIT_TOP[1] + t * t * PROBIT_TOP[2]
+        bottom = PROBIT_BOTTOM[0] + t * PROBIT_BOTTOM[1] + t * t * PROBIT_BOTTOM[2] + t * t * t * PROBIT_BOTTOM[3]
+        return t - top / bottom
+
+    def signed(q: Column) -> Column:
+        return let(F.sqrt(-2.0 * F.log(F.least(q, 1 - q))), lambda t: F.when(q < 0.5, -tail(t)).otherwise(tail(t)))
+
+    return let(p, lambda v: F.when(v.isNotNull(), let(F.greatest(F.lit(PROBIT_EPS), F.least(F.lit(1 - PROBIT_EPS), v)), signed)))
+
+
+def np_probit(p: np.ndarray) -> np.ndarray:
+    q = np.clip(p, PROBIT_EPS, 1 - PROBIT_EPS)
+    t = np.sqrt(-2.0 * np.log(np.minimum(q, 1 - q)))
+    x = t - np.polyval(PROBIT_TOP[::-1], t) / np.polyval(PROBIT_BOTTOM[::-1], t)
+    return np.where(q < 0.5, -x, x)
 
 
 def sigmoid(x: Column) -> Column:

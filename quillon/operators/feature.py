@@ -6,12 +6,15 @@ import math
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.expressions import GraphError
-from ..functions.values import flag, holds, missing, number
-from ..models.post import probit
+from ..functions.values import flag, holds, missing
+from ..models.post import np_probit, probit
+from .kernels import kernel
 from .registry import Context, Value, argmax, dot, matrix, operator, total  # noqa: F401
 
 
@@ -19,6 +22,10 @@ def _lit(v: float | None) -> Column:
     return missing() if v is None or math.isnan(v) else F.lit(float(v))
 
 
+#: Up to so many levels or keys are CASE expressions.
+LADDER = 32
+
+
 # Scalers
 
 
@@ -90,13 +97,28 @@ def power_transformer(ins: list[Value], ctx: Context):
 
 @operator("feature", "QuantileTransformer")
 def quantile_transformer(ins: list[Value], ctx: Context):
-    """references holds one row of values for each feature, quantiles the levels."""
+    """references holds one row of values for each feature, quantiles the levels. Over LADDER levels are searched by a kernel."""
     x = matrix(ins)
     levels = ctx.numbers("quantiles")
     refs = ctx.get("references")
     if levels is None or refs is None:
         return x
     refs = np.asarray(refs, dtype=float).reshape(-1, len(levels))
+    normal, steps = ctx.get("output_distribution") == "normal", np.asarray(levels)
+
+    def run(rows: np.ndarray) -> np.ndarray:
+        out = np.empty_like(rows)
+        for f in range(rows.shape[1]):
+            r, c = refs[min(f, len(refs) - 1)], rows[:, f]
+            i = np.clip(np.searchsorted(r, c, side="right") - 1, 0, len(r) - 2)
+            y = steps[i] + (c - r[i]) / (r[i + 1] - r[i] + 1e-12) * (steps[i + 1] - steps[i])
+            y = np.where(c <= r[0], steps[0], np.where(c >= r[-1], steps[-1], y))
+            y = np.where(np.isnan(c), np.nan, np.clip(y, 0.0, 1.0))
+            out[:, f] = np_probit(y) if normal else y
+        return out
+
+    if len(levels) > LADDER:
+        return kernel(ctx.spark, run, x, len(x))
 
     def one(c: Column, r: list[float]) -> Column:
         y = F.when(c <= r[0], F.lit(levels[0])).when(c >= r[-1], F.lit(levels[-1]))
@@ -104,7 +126,7 @@ def quantile_transformer(ins: list[Value], ctx: Context):
             slope = (levels[i + 1] - levels[i]) / (r[i + 1] - r[i] + 1e-12)
             y = y.when(c < r[i + 1], F.lit(levels[i]) + (c - r[i]) / F.lit(r[i + 1] - r[i] + 1e-12) * (levels[i + 1] - levels[i]) if slope else F.lit(levels[i]))
         y = F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), y)))
-        return probit(y) if ctx.get("output_distribution") == "normal" else y
+        return probit(y) if normal else y
 
     return [one(c, refs[min(f, len(refs) - 1)].tolist()) for f, c in enumerate(x)]
 
@@ -272,18 +294,26 @@ def missing_indicator(ins: list[Value], ctx: Context):
 
 
 def _lookup(c: Column, keys: list, values: list[float | None], default: Column) -> Column:
-    """values by keys; a CASE for few keys, else a map literal, which is hashed once."""
+    """values by keys; a CASE for few keys, else a hash table in a kernel, which Arrow fills once a batch."""
     if not keys:
         return default
-    if len(keys) <= 32:
+    if len(keys) <= LADDER:
         out = None
         for k, v in zip(keys, values):
             hit = c == (F.lit(k) if isinstance(k, str) else F.lit(float(k)))
             out = F.when(hit, _lit(v)) if out is None else out.when(hit, _lit(v))
         return out.otherwise(default)
-    pairs = [F.lit(x) for k, v in zip(keys, values) for x in (k if isinstance(k, str) else float(k), math.nan if v is None else float(v))]
-    found = F.element_at(F.create_map(*pairs), c)
-    return F.when(found.isNull(), default).otherwise(number(found))
+    text = isinstance(keys[0], str)
+    known = pa.array([k if text else float(k) for k in keys], pa.string() if text else pa.float64())
+    given = np.array([math.nan if v is None else float(v) for v in values])
+
+    def run(column: pa.Array) -> np.ndarray:
+        at = pc.index_in(column, value_set=known, skip_nulls=True)
+        there, at = at.is_valid().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy(zero_copy_only=False)
+        return np.stack([np.where(there, given[at], np.nan), there], axis=1)
+
+    value, there = kernel(None, run, [c], 2, arrays=True)
+    return F.when(there == 1.0, value).otherwise(default)
 
 
 def _blocks(ctx: Context, name: str, offsets: str, n: int) -> list[list]:

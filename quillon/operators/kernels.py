@@ -26,7 +26,7 @@ def block(columns: tuple[pa.Array, ...]) -> np.ndarray:
     return out
 
 
-def kernel(spark: SparkSession, run: Callable[..., np.ndarray], cols: list[Column], width: int, arrays: bool = False) -> list[Column]:
+def kernel(spark: SparkSession | None, run: Callable[..., np.ndarray], cols: list[Column], width: int, arrays: bool = False) -> list[Column]:
     """run's columns: it gets a matrix of the input columns (or, with arrays, each Arrow array) and returns [rows, width]."""
     @F.arrow_udf("array<double>")
     def call(*columns: pa.Array) -> pa.Array:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from ..functions.expressions import GraphError
@@ -38,6 +40,25 @@ def nearest(d: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :k]
 
 
+#: Training rows that are compared at once.
+TILE = 1024
+
+
+def nearest_by(n: int, k: int, distance: Callable[[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, indices) of each row's k nearest of n training rows, by distance, then by index; distance(a, b) compares with the rows from a to b."""
+    best: tuple[np.ndarray, np.ndarray] | None = None
+    for lo in range(0, max(n, 1), TILE):
+        d = distance(lo, min(n, lo + TILE))
+        at = nearest(d, k)
+        found = np.take_along_axis(d, at, axis=1), at + lo
+        if best is not None:
+            d, at = (np.concatenate(x, axis=1) for x in zip(best, found))
+            order = nearest(d, k)
+            found = np.take_along_axis(d, order, axis=1), np.take_along_axis(at, order, axis=1)
+        best = found
+    return best
+
+
 def _weights(d: np.ndarray, kind: str) -> np.ndarray:
     if kind != "distance":
         return np.ones_like(d)
@@ -64,23 +85,30 @@ def knn(ins: list[Value], ctx: Context):
 
     def run(rows: np.ndarray) -> np.ndarray:
         bad = np.isnan(rows).any(axis=1)
-        d = distances(np.where(bad[:, None], 0.0, rows), train, metric, p)
+        plain = np.where(bad[:, None], 0.0, rows)
+        # of tiles of training rows, or of the nearest: the weights' sum, and the votes or the weighted sum of targets
+        sums, votes = np.zeros(len(rows)), np.zeros((len(rows), classes if classify else 1))
+
+        def count(w: np.ndarray, y: np.ndarray) -> None:
+            nonlocal sums
+            sums = sums + w.sum(axis=1)
+            for c in range(votes.shape[1]):
+                votes[:, c] += (np.where(y == c, w, 0.0) if classify else w * y).sum(axis=1)
+
         if radius is None:
-            at = nearest(d, k)
-            d = np.take_along_axis(d, at, axis=1)
-            use, y = np.ones_like(d), targets[at]
+            d, at = nearest_by(len(train), k, lambda a, b: distances(plain, train[a:b], metric, p))
+            count(_weights(d, kind), targets[at])
         else:
-            use, y = (d <= radius).astype(float), np.broadcast_to(targets, d.shape)
-        w = _weights(d, kind) * use
-        sums = w.sum(axis=1)
+            for lo in range(0, len(train), TILE):
+                d = distances(plain, train[lo : lo + TILE], metric, p)
+                count(_weights(d, kind) * (d <= radius), np.broadcast_to(targets[lo : lo + TILE], d.shape))
         out = np.zeros((len(rows), 1 + classes if classify else 1))
         with np.errstate(invalid="ignore", divide="ignore"):
             if classify:
-                votes = np.stack([np.where(y == c, w, 0.0).sum(axis=1) for c in range(classes)], axis=1)
                 out[:, 0] = np.where(sums > 0, votes.argmax(axis=1), outlier)
                 out[:, 1:] = np.where(sums[:, None] > 0, votes / sums[:, None], 0.0)
             else:
-                out[:, 0] = np.where(sums > 0, (w * y).sum(axis=1) / sums, 0.0)
+                out[:, 0] = np.where(sums > 0, votes[:, 0] / sums, 0.0)
         out[bad] = np.nan
         return out
 
@@ -108,16 +136,18 @@ def knn_imputer(ins: list[Value], ctx: Context):
             return out
         part = rows[todo]
         known = ~np.isnan(part)
-        total, count = np.zeros((len(todo), len(train))), np.zeros((len(todo), len(train)))
-        for f in range(rows.shape[1]):
-            both = known[:, f, None] & there[None, :, f]
-            diff = np.where(both, part[:, f, None] - train[None, :, f], 0.0)
-            total += diff * diff
-            count += both
-        with np.errstate(invalid="ignore", divide="ignore"):
-            d = np.where(count > 0, np.sqrt(total * rows.shape[1] / count), np.inf)
-        at = nearest(d, k)
-        near = np.take_along_axis(d, at, axis=1)
+
+        def distance(a: int, b: int) -> np.ndarray:
+            total, count = np.zeros((len(todo), b - a)), np.zeros((len(todo), b - a))
+            for f in range(rows.shape[1]):
+                both = known[:, f, None] & there[None, a:b, f]
+                diff = np.where(both, part[:, f, None] - train[None, a:b, f], 0.0)
+                total += diff * diff
+                count += both
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return np.where(count > 0, np.sqrt(total * rows.shape[1] / count), np.inf)
+
+        near, at = nearest_by(len(train), k, distance)
         w = _weights(near, kind) * np.isfinite(near)
         for f in range(rows.shape[1]):
             gives = there[at, f] * w

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,23 +137,34 @@ def _by_place(words: list[str]) -> dict[str, int]:
     return {w: i for i, w in enumerate(words)}
 
 
+#: Vocabularies of up to so many words are counted by expressions, one pass a word.
+FEW_WORDS = 4
+
+
+def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The row and the code of each token that is there, row by row, and the distinct tokens by code."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    rows, tokens = np.repeat(np.arange(len(column)), sizes), column.flatten().dictionary_encode()
+    there = tokens.indices.is_valid().to_numpy(zero_copy_only=False)
+    return rows[there], tokens.indices.fill_null(0).to_numpy(zero_copy_only=False)[there].astype(np.int64), tokens.dictionary.to_pylist()
+
+
 @operator("text", "CountVectorizer")
 def count_vectorizer(ins: list[Value], ctx: Context):
     """Counts of the vocabulary's words; with binary 1 for each that occurs."""
     words = list(ctx.need("vocabulary"))
     place, tokens, binary = _by_place(words), _tokens(ins), ctx.get("binary", False)
-    if len(words) <= 64:
+    if len(words) <= FEW_WORDS:
         count = lambda w: F.size(F.filter(tokens, lambda t: t == w)).cast("double")
         out = [count(w) if place[w] == i else F.lit(0.0) for i, w in enumerate(words)]
         return [F.least(c, F.lit(1.0)) for c in out] if binary else out
 
     def run(column: pa.Array) -> np.ndarray:
-        out = np.zeros((len(column), len(words)))
-        for i, row in enumerate(column.to_pylist()):
-            for t in row or ():
-                if (k := place.get(t)) is not None:
-                    out[i, k] = 1 if binary else out[i, k] + 1
-        return out
+        rows, codes, distinct = _coded(column)
+        at = np.array([place.get(t, -1) for t in distinct], dtype=np.int64)[codes]
+        cells = (rows * len(words) + at)[at >= 0]
+        out = np.bincount(cells, minlength=len(column) * len(words)).reshape(len(column), len(words))
+        return np.minimum(out, 1) if binary else out
 
     return kernel(ctx.spark, run, [tokens], len(words), arrays=True)
 
@@ -176,6 +189,9 @@ def murmur3(data: bytes, seed: int = 42) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+@lru_cache(1 << 18)
+def _hashed(token: str) -> int:
+    return murmur3(token.encode("utf-8"))
 
 
 @operator("text", "HashingVectorizer")
@@ -187,28 +203,34 @@ def hashing_vectorizer(ins: list[Value], ctx: Context):
     """
     n, binary, signed = int(ctx.get("num_features", 1 << 18)), ctx.get("binary", False), ctx.get("alternate_sign", False)
 
-    def tally(row: list[str] | None) -> dict[int, float]:
-        out: dict[int, float] = {}
-        for t in row or ():
-            h = murmur3(t.encode("utf-8"))
-            step = -1.0 if signed and h < 0 else 1.0
-            out[h % n] = step if binary else out.get(h % n, 0.0) + step
-        return out
+    def cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places (row times num_features plus index), sorted, and their values. Each distinct token of a batch is hashed once."""
+        rows, codes, distinct = _coded(column)
+        hashes = np.array([_hashed(t) for t in distinct], dtype=np.int64)
+        step = np.where(signed & (hashes < 0), -1.0, 1.0)[codes]
+        at = rows * n + (hashes % n)[codes]
+        places, inverse = np.unique(at, return_inverse=True)
+        if binary:  # the last token decides
+            out = np.empty(len(places))
+            out[inverse] = step
+            return places, out
+        return places, np.bincount(inverse, weights=step, minlength=len(places))
 
     if n <= 4096:
 
         def run(column: pa.Array) -> np.ndarray:
-            out = np.zeros((len(column), n))
-            for i, row in enumerate(column.to_pylist()):
-                for k, v in tally(row).items():
-                    out[i, k] = v
-            return out
+            out = np.zeros(len(column) * n)
+            places, values = cells(column)
+            out[places] = values
+            return out.reshape(len(column), n)
 
         return kernel(ctx.spark, run, [_some(_tokens(ins))], n, arrays=True)
 
     @F.arrow_udf("map<int,double>")
     def sparse(column: pa.Array) -> pa.Array:
-        return pa.array([sorted(tally(row).items()) for row in column.to_pylist()], pa.map_(pa.int32(), pa.float64()))
+        places, values = cells(column)
+        ends = np.searchsorted(places, np.arange(len(column) + 1) * n).astype(np.int32)
+        return pa.MapArray.from_arrays(pa.array(ends), pa.array((places % n).astype(np.int32)), pa.array(values))
 
     return Value([sparse(_some(_tokens(ins)))], "map")
 
@@ -226,11 +248,13 @@ def word2vec(ins: list[Value], ctx: Context):
     vectors = np.asarray(ctx.need("vectors"), dtype=float).reshape(len(ctx.need("vocabulary")), -1)
 
     def run(column: pa.Array) -> np.ndarray:
+        rows, codes, distinct = _coded(column)
+        at = np.array([place.get(t, -1) for t in distinct], dtype=np.int64)[codes]
+        rows, at = rows[at >= 0], at[at >= 0]
         out = np.zeros((len(column), vectors.shape[1]))
-        for i, row in enumerate(column.to_pylist()):
-            at = [place[t] for t in row or () if t in place]
-            if at:
-                out[i] = vectors[at].mean(axis=0)
+        held, first, sizes = np.unique(rows, return_index=True, return_counts=True)
+        if len(held):
+            out[held] = np.add.reduceat(vectors[at], first, axis=0) / sizes[:, None]
         return out
 
     return kernel(ctx.spark, run, [_some(_tokens(ins))], vectors.shape[1], arrays=True)

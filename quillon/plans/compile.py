@@ -144,7 +144,7 @@ def apply_graph(graph: Graph, df: DataFrame, outputs: list[str] | None = None, v
     for o in wanted:
         v = plan.read(o.value or o.name, scope)
         c = v.cols[0] if v.width == 1 else F.array(*v.cols)
-        made.append(c.alias(o.name, metadata={"role": o.role} if o.role else {}))
+        made.append(c.alias(o.name, metadata=({"role": o.role} if o.role else {}) | ({"width": v.width} if v.width != 1 else {})))
     names = {o.name for o in wanted}
     return plan.df.select(*[named(c) for c in df.columns if c not in names], *made)
 

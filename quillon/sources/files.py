@@ -22,15 +22,25 @@ def read_matrix_csv(spark: SparkSession, path: str, names: list[str]) -> DataFra
     return spark.read.schema(schema).option("header", "false").csv(path)
 
 
-def write_scores_csv(df: DataFrame, path: str, outputs: list[str]) -> None:
-    """Outputs with six decimals under a header; a wide output is name_0, name_1 and so on, as wide as its first row."""
+def write_scores_csv(df: DataFrame, path: str, outputs: list[str], widths: dict[str, int] | None = None) -> None:
+    """Outputs with six decimals under a header; a wide output is name_0, name_1 and so on.
+
+    Its width is what the graph declared (a scored frame's columns carry it)
+    or what widths says; a row of another width is an error, a missing one is
+    as many empty fields.
+    """
+    text = lambda c: F.when(c.isNotNull(), F.format_string("%.6f", c))
     cols = []
     for n in outputs:
         if isinstance(df.schema[n].dataType, T.ArrayType):
-            first = df.select(F.size(n)).first()
-            cols += [F.format_string("%.6f", F.get(F.col(n), F.lit(i))).alias(f"{n}_{i}") for i in range(first[0] if first else 0)]
+            width = (widths or {}).get(n, df.schema[n].metadata.get("width"))
+            if width is None:
+                raise ValueError(f"output {n} is an array of no declared width")
+            fits = F.col(n).isNull() | (F.size(n) == width)
+            held = F.when(fits, F.col(n)).otherwise(F.raise_error(F.lit(f"a row of {n} is not {width} wide")))
+            cols += [text(F.get(held, F.lit(i))).alias(f"{n}_{i}") for i in range(width)]
         else:
-            cols.append(F.format_string("%.6f", F.col(n)).alias(n))
+            cols.append(text(F.col(n)).alias(n))
     df.select(*cols).write.mode("overwrite").option("header", "true").csv(path)
 
 

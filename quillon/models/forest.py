@@ -12,6 +12,7 @@ be too large are walked level by level.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,7 +111,7 @@ class Forest:
     """Leaf numbers, [rows, trees], for matrices with NaN for missing."""
 
     def __init__(self, trees: list[Tree], n_features: int):
-        self.trees = trees
+        self.trees, self.n_trees = trees, len(trees)
         self.leaves: list[list[int]] = []
         spans = []
         for t in trees:
@@ -202,11 +203,17 @@ class Forest:
     def leaf_numbers(self, x: np.ndarray) -> np.ndarray:
         if self.tables is None:
             return self._walk(x)
-        out = np.empty((len(x), len(self.trees)), dtype=np.int64)
+        out = np.empty((len(x), self.n_trees), dtype=np.int64)
         for rows, trees, leaves in self.blocks(x):
             out[rows, trees] = leaves
         return out
 
+    def sealed(self) -> Forest:
+        """The same without what only building needs: workers get tables, not trees."""
+        out = copy(self)
+        out.trees, out.leaves = [], []
+        return out
+
     def _cells(self, x: np.ndarray) -> list[np.ndarray]:
         cells = []
         for f, cuts in enumerate(self.cells):
@@ -221,8 +228,8 @@ class Forest:
             step = max(1, TREES_AT_ONCE // self.words)
             used = [f for f in range(self.n_features) if len(self.cells[f]) or f == 0]
             self.parts = []
-            for a in range(0, len(self.trees), step):
-                b = min(a + step, len(self.trees))
+            for a in range(0, self.n_trees, step):
+                b = min(a + step, self.n_trees)
                 self.parts.append((slice(a, b), [(f, np.ascontiguousarray(self.tables[f][:, a * self.words : b * self.words])) for f in used]))
         return self.parts
 
@@ -259,7 +266,7 @@ class Forest:
                 yield rows, trees, leaves
 
     def _walk(self, x: np.ndarray) -> np.ndarray:
-        at = np.broadcast_to(self.root, (len(x), len(self.trees))).copy()
+        at = np.broadcast_to(self.root, (len(x), self.n_trees)).copy()
         rows = np.arange(len(x))[:, None]
         while True:
             v = x[rows, self.flat_feature[at]]
@@ -361,6 +368,9 @@ class Ensemble:
         scalar = flat[np.arange(len(flat)), np.repeat(groups, size)] if narrow else None
         members = [np.flatnonzero(groups == o) for o in range(self.n_outputs)]
         votes = sum(map(self.weight, range(depth))) or 1.0
+        # all that goes to the workers
+        forest, n_outputs, aggregation, base, factor = forest.sealed(), self.n_outputs, self.aggregation, self.base, self.factor()
+        adds = narrow and n_outputs == 1 and aggregation in _SUMS and forest.tables is not None
 
         def sums(x: np.ndarray) -> np.ndarray:
             """One output that adds up: block by block, without a matrix of all leaves."""
@@ -370,21 +380,21 @@ class Ensemble:
                 leaves += shift[trees]
                 v = np.take(scalar, leaves, out=held.reshape(-1)[: leaves.size].reshape(leaves.shape), mode="clip")
                 out[rows] += v.sum(axis=1)
-            return ((out + self.base[0]) * self.factor())[:, None]
+            return ((out + base[0]) * factor)[:, None]
 
         def run(x: np.ndarray) -> np.ndarray:
-            if narrow and self.n_outputs == 1 and self.aggregation in _SUMS and forest.tables is not None:
+            if adds:
                 return sums(x)
             at = forest.leaf_numbers(x) + shift
-            out = np.empty((len(x), self.n_outputs))
-            for o in range(self.n_outputs):
-                v = scalar[at[:, members[o]] if self.n_outputs > 1 else at] if narrow else flat[at, o]
-                if self.aggregation in ("min", "max"):
-                    out[:, o] = getattr(v, self.aggregation)(axis=1) if v.shape[1] else self.base[o]
-                elif self.aggregation == "majority_vote":
+            out = np.empty((len(x), n_outputs))
+            for o in range(n_outputs):
+                v = scalar[at[:, members[o]] if n_outputs > 1 else at] if narrow else flat[at, o]
+                if aggregation in ("min", "max"):
+                    out[:, o] = getattr(v, aggregation)(axis=1) if v.shape[1] else base[o]
+                elif aggregation == "majority_vote":
                     out[:, o] = v.sum(axis=1) / votes
                 else:
-                    out[:, o] = (v.sum(axis=1) + self.base[o]) * self.factor()
+                    out[:, o] = (v.sum(axis=1) + base[o]) * factor
             return out
 
         return run

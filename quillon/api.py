@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.expressions import GraphError
+from .functions.expressions import BadShape, UnknownOutput
 from .plans.compile import apply_graph
 from .plans.spec import Graph, Input, Output
 
@@ -81,7 +81,7 @@ class ScoringModel:
         rows = np.asarray(data, dtype=float)
         rows = rows.reshape(-1, sum(i.width for i in self.inputs)) if rows.ndim < 2 else rows
         if rows.shape[1] != sum(i.width for i in self.inputs):
-            raise GraphError(f"{rows.shape[1]} features are given, not {sum(i.width for i in self.inputs)}")
+            raise BadShape(f"{rows.shape[1]} features are given, not {sum(i.width for i in self.inputs)}")
         return spark.createDataFrame([(n, r.tolist()) for n, r in enumerate(rows)], f"{ROW} long, x array<double>"), "x"
 
     def run(self, data: object, outputs: list[str] | None = None) -> dict[str, np.ndarray]:
@@ -134,7 +134,7 @@ class Session:
 
     def get(self, name: str) -> np.ndarray:
         if name not in self.made:
-            raise GraphError(f"there is no output {name}; run first")
+            raise UnknownOutput(f"there is no output {name}; run first")
         return self.made[name]
 
 

@@ -22,7 +22,39 @@ Expr = object
 
 
 class GraphError(ValueError):
-    """A model graph that can't be compiled."""
+    """A model graph that can't be compiled or fed. The kinds below are told apart by their classes, or by kind."""
+
+    kind = "bad_graph"
+
+
+class BadFormat(GraphError):
+    """What is loaded is no graph."""
+
+    kind = "bad_format"
+
+
+class UnknownOperator(GraphError):
+    kind = "unknown_operator"
+
+
+class MissingInput(GraphError):
+    """A column of the data, or a value that a node reads."""
+
+    kind = "missing_input"
+
+
+class MissingAttribute(GraphError):
+    kind = "missing_attribute"
+
+
+class UnknownOutput(GraphError):
+    kind = "unknown_output"
+
+
+class BadShape(GraphError):
+    """Another number of columns, features or values than is needed."""
+
+    kind = "bad_shape"
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.expressions import GraphError
+from ..functions.expressions import BadShape, GraphError
 from ..operators.kernels import kernel
 from ..operators.neighbours import distances, kernel_matrix, nearest_by
 from ..operators.registry import Context, Value, dot, matrix, operator, total
@@ -120,7 +120,7 @@ def anomaly_detection(ins: list[Value], ctx: Context):
     """One value for each output, by output_roles, or else by what its name holds: decision, pred(iction) or label; else the score."""
     x = matrix(ins)
     if (n := ctx.get("n_features")) is not None and int(n) != len(x):
-        raise GraphError(f"{n} features are needed, not {len(x)}")
+        raise BadShape(f"{n} features are needed, not {len(x)}")
     score = _score(x, ctx)
     decision = score - F.lit(float(ctx.get("offset", 0.0)))
     made = {"score": score, "decision": decision, "prediction": F.when(decision >= 0, F.lit(1.0)).when(decision < 0, F.lit(-1.0))}

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import Expr, GraphError, UserFunction
+from ..functions.expressions import BadShape, Expr, GraphError, MissingAttribute, UserFunction
 from ..functions.values import missing
 
 
@@ -43,7 +43,7 @@ class Context:
 
     def need(self, name: str) -> object:
         if self.attrs.get(name) is None:
-            raise GraphError(f"attribute {name} is required")
+            raise MissingAttribute(f"attribute {name} is required")
         return self.attrs[name]
 
     def numbers(self, name: str, n: int | None = None, default: float | None = None) -> list[float | None] | None:
@@ -56,7 +56,7 @@ class Context:
             out *= n
         if n is not None and len(out) < n:
             if default is None:
-                raise GraphError(f"{name} has {len(out)} values, not {n}")
+                raise BadShape(f"{name} has {len(out)} values, not {n}")
             out += [default] * (n - len(out))
         return out
 
@@ -87,12 +87,12 @@ def dealt(result: object, n_out: int) -> list[Value]:
         result = [result] if n_out == 1 or result.width != n_out else [Value([c], result.kind) for c in result.cols]
     if result and isinstance(result[0], Value):
         if len(result) < n_out:
-            raise GraphError(f"{n_out} outputs are named, {len(result)} made")
+            raise BadShape(f"{n_out} outputs are named, {len(result)} made")
         return result[:n_out]
     if n_out == 1:
         return [Value(list(result))]
     if len(result) < n_out:
-        raise GraphError(f"{n_out} outputs are named, {len(result)} columns made")
+        raise BadShape(f"{n_out} outputs are named, {len(result)} columns made")
     return [Value([c]) for c in result[:n_out]]
 
 

@@ -138,7 +138,7 @@ def _by_place(words: list[str]) -> dict[str, int]:
 
 
 #: Vocabularies of up to so many words are counted by expressions, one pass a word.
-FEW_WORDS = 4
+FEW_WORDS = 16
 
 
 def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import models  # noqa: F401
-from ..functions.expressions import GraphError
+from ..functions.expressions import BadShape, GraphError, MissingInput, UnknownOperator, UnknownOutput
 from ..functions.policies import apply_policy
 from ..functions.values import missing, number
 from ..models import anomaly, bayes, clusters, linear, networks, svm, trees  # noqa: F401
@@ -66,7 +66,7 @@ class _Plan:
             try:
                 self.step(node, scope)
             except GraphError as e:
-                raise GraphError(f"{node.op} ({', '.join(node.outputs)}): {e}") from e
+                raise type(e)(f"{node.op} ({', '.join(node.outputs)}): {e}") from e
 
     def read(self, name: str, scope: Mapping[str, Value]) -> Value:
         if name in scope:
@@ -75,7 +75,7 @@ class _Plan:
             v = self.graph.constants[name]
             flat = list(v) if isinstance(v, (list, tuple)) else [v]
             return Value([F.lit(x) if isinstance(x, str) else F.lit(float(x)) for x in flat], "string" if flat and isinstance(flat[0], str) else "number")
-        raise GraphError(f"there is no value {name}")
+        raise MissingInput(f"there is no value {name}")
 
     def step(self, node: Node, scope: dict[str, Value]) -> None:
         if node.op == "composite":
@@ -85,7 +85,7 @@ class _Plan:
                 scope[outer] = self.read(mine, inner)
             return
         if node.op not in OPERATORS:
-            raise GraphError("unknown operator")
+            raise UnknownOperator("unknown operator")
         if node.op == "core.Identity":
             for a, b in zip(node.inputs, node.outputs):
                 scope[b] = self.read(a, scope)
@@ -107,12 +107,12 @@ def _inputs(graph: Graph, df: DataFrame, vector: str | None) -> tuple[list[Input
         else:
             source = i.column or i.name
             if source not in df.columns:
-                raise GraphError(f"the data has no column {source}")
+                raise MissingInput(f"the data has no column {source}")
             kind = df.schema[source].dataType.typeName()
             if i.type != "tokens" and kind == "array":
                 cols = [F.get(named(source), F.lit(k)) for k in range(i.width)]
             elif i.width > 1:
-                raise GraphError(f"{source} must be an array of {i.width}")
+                raise BadShape(f"{source} must be an array of {i.width}")
             else:
                 cols = [named(source)]
         cols = cols if i.type == "tokens" else [c.cast("string") for c in cols] if i.type == "string" else [number(c) for c in cols]
@@ -139,7 +139,7 @@ def apply_graph(graph: Graph, df: DataFrame, outputs: list[str] | None = None, v
     plan.run(graph.nodes, scope)
     wanted = [o for o in graph.outputs if outputs is None or o.name in outputs]
     if outputs is not None and len(wanted) != len(set(outputs)):
-        raise GraphError(f"unknown outputs: {', '.join(set(outputs) - {o.name for o in wanted})}")
+        raise UnknownOutput(f"unknown outputs: {', '.join(set(outputs) - {o.name for o in wanted})}")
     made = []
     for o in wanted:
         v = plan.read(o.value or o.name, scope)

@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from ..functions.expressions import GraphError, UserFunction
+from ..functions.expressions import BadFormat, GraphError, UserFunction
 
 SUPPORTED = (0, 1)
 ROLES = ("prediction", "probability", "score", "confidence", "decision", "distance", "cluster", "transformed", "label", "rank", "entity", "leaf", "other")
@@ -123,7 +123,7 @@ class Graph:
         try:
             return cls.of(json.loads(data))
         except (json.JSONDecodeError, UnicodeDecodeError) as e:
-            raise GraphError(f"this is no model graph: {e}") from e
+            raise BadFormat(f"this is no model graph: {e}") from e
 
     @classmethod
     def load(cls, path: str) -> Graph:

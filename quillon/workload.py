@@ -199,6 +199,14 @@ _PROBIT = "CASE WHEN u < 0.5 THEN -1 ELSE 1 END * (w - (2.515517 + 0.802853 * w
 query("feature_quantiletransformer", LINES, [
     node("feature.QuantileTransformer", "q", "a", quantiles=_LEVELS, references=[_REFS]), node("feature.QuantileTransformer", "q", "k", quantiles=_LEVELS, references=[_REFS], output_distribution="normal"),
 ], {"a": "z", "k": _PROBIT}, lets=f"z0 AS (SELECT *, {_QUANTILE} AS z FROM b), z1 AS (SELECT *, greatest(1e-7, least(1 - 1e-7, z)) AS u FROM z0), c AS (SELECT *, sqrt(-2 * ln(least(u, 1 - u))) AS w FROM z1)")
+_MANY_REFS = [round(1 + 49 * (i / 999) ** 1.5, 9) for i in range(1000)]
+_MANY = f"CASE WHEN q <= 1 THEN 0.0 WHEN q >= 50 THEN 1.0 ELSE (k - 1) / {num(999)} + (q - r[k]) / (r[k + 1] - r[k] + 1e-12) * (k / {num(999)} - (k - 1) / {num(999)}) END"
+query("feature_quantiletransformer_many", LINES, [
+    node("feature.QuantileTransformer", "q", "a", quantiles=[i / 999 for i in range(1000)], references=[_MANY_REFS]), node("feature.QuantileTransformer", "q", "k", quantiles=[i / 999 for i in range(1000)], references=[_MANY_REFS], output_distribution="normal"),
+], {"a": "z", "k": _PROBIT}, lets=f"x0 AS (SELECT *, CAST({_MANY_REFS!r} AS DOUBLE[]) AS r FROM b), x1 AS (SELECT *, len(list_filter(r, lambda x: x <= q)) AS k FROM x0), z0 AS (SELECT *, {_MANY} AS z FROM x1), "
+      "z1 AS (SELECT *, greatest(1e-7, least(1 - 1e-7, z)) AS u FROM z0), c AS (SELECT *, sqrt(-2 * ln(least(u, 1 - u))) AS w FROM z1)")
+query("feature_mapvalues_many", EVENTS, [node("feature.MapValues", "u", "a", keys=list(range(10_000)), values=[i * 7 % 101 for i in range(10_000)], default_value=-1), node("feature.OrdinalEncoder", "kind", "c", categories=[[*(f"none {i}" for i in range(100)), "click"]], default_values=[-2])],
+      {"a": "CASE WHEN u < 10000 THEN CAST(u AS BIGINT) * 7 % 101 ELSE -1 END", "c": "CASE kind WHEN 'click' THEN 100 ELSE -2 END"})
 query("feature_splinetransformer", PARTS, [node("feature.SplineTransformer", "s", "a", knots=[1, 1, 20, 50, 50], degree=1)], {"a": [
     "CASE WHEN s < 20 THEN (20 - s) / 19 ELSE 0 END", "CASE WHEN s < 20 THEN (s - 1) / 19 ELSE (50 - s) / 30 END", "CASE WHEN s >= 20 AND s < 50 THEN (s - 20) / 30 ELSE 0 END"]})
 query("feature_polynomialfeatures", LINES, [
@@ -340,6 +348,8 @@ query("text_count_tfidf", TEXTS, [
     node("text.Tokenizer", "text", "w"), node("text.CountVectorizer", "w", "a", vocabulary=_VOCABULARY), node("text.CountVectorizer", "w", "c", vocabulary=_VOCABULARY, binary=True),
     node("text.TfIdfTransformer", "a", "k", idf=[1.5, 2, 2.5, 3, 3.5]),
 ], {"a": _COUNTS, "c": [f"least({c}, 1)" for c in _COUNTS], "k": [f"{c} * {1.5 + i / 2}" for i, c in enumerate(_COUNTS)]}, lets=f"c AS (SELECT doc_id, {_TOKENS} AS w FROM b)")
+_WIDE = [*_VOCABULARY, *map(str, range(75))]
+query("text_count_many", TEXTS, [node("text.Tokenizer", "text", "w"), node("text.CountVectorizer", "w", "a", vocabulary=_WIDE)], {"a": [f"len(list_filter(w, lambda t: t = '{v}'))" for v in _WIDE]}, lets=f"c AS (SELECT doc_id, {_TOKENS} AS w FROM b)")
 _VECTORS = [[1.0, 0.5], [0.25, -1.0], [2.0, 0.0], [-0.5, 1.5], [0.75, 0.75]]
 _KNOWN = "(" + " + ".join(_COUNTS) + ")"
 query("text_word2vec", TEXTS, [node("text.Tokenizer", "text", "w"), node("text.Word2Vec", "w", "a", vocabulary=_VOCABULARY, vectors=_VECTORS)], {
@@ -600,8 +610,20 @@ _PREC = [[0.01, 0.2], [0.2, 900.0]]
 _anomaly("elliptic_envelope", LINES, ["q", "d"], "-((q - 25) * (0.01 * (q - 25) + 0.2 * (d - 0.05)) + (d - 0.05) * (0.2 * (q - 25) + 900 * (d - 0.05)))", -2.0, location=[25, 0.05], precision=_PREC)
 _anomaly("linear_one_class_svm", LINES, ["q", "n"], "0.1 * q - 0.5 * n + 0.25", 0.5, coefficients=[0.1, -0.5], intercept=0.25)
 _anomaly("one_class_svm", LINES, ["q", "n"], dot_sql(_kernel_sql("rbf", 0.01, 0.0, 3), _ALPHA) + " + 0.1", 0.0, support_vectors=_SV, dual_coefficients=_ALPHA, intercept=0.1, kernel="rbf", gamma=0.01)
-query("model_anomaly_local_outlier_factor", LINES, [node("model.AnomalyDetection", ["q", "n"], ["score", "y_pred"], variant="local_outlier_factor", offset=-1.5, n_neighbors=4,
-      reference_samples=[[float(i * 3 % 50), float(i % 7)] for i in range(60)])], None, widths={"score": 1, "y_pred": 1})
+_POINTS = [[float(i * 3 % 50), float(i % 7)] for i in range(60)]
+_AWAY = "sqrt((a.x - r.x) * (a.x - r.x) + (a.y - r.y) * (a.y - r.y))"
+_FACTOR = f"""r AS (SELECT * FROM (VALUES {', '.join(f'({i}, {num(x)}, {num(y)})' for i, (x, y) in enumerate(_POINTS))}) t(i, x, y)),
+rd AS (SELECT a.i AS i, r.i AS j, {_AWAY} AS d FROM r a JOIN r ON a.i <> r.i),
+rn AS (SELECT * FROM rd QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 4),
+kd AS (SELECT i, max(d) AS far FROM rn GROUP BY i),
+dens AS (SELECT rn.i AS i, 1 / (avg(greatest(far, d)) + 1e-10) AS p FROM rn JOIN kd ON kd.i = rn.j GROUP BY rn.i),
+pts AS (SELECT DISTINCT q AS x, n AS y FROM b),
+pd AS (SELECT a.x AS x, a.y AS y, r.i AS j, {_AWAY} AS d FROM pts a CROSS JOIN r),
+pn AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY d, j) <= 4),
+s AS (SELECT x, y, -avg(p) * (avg(greatest(far, d)) + 1e-10) AS z FROM pn JOIN kd ON kd.i = j JOIN dens ON dens.i = j GROUP BY x, y),
+c AS (SELECT b.*, z FROM b JOIN s ON q = x AND n = y)"""
+query("model_anomaly_local_outlier_factor", LINES, [node("model.AnomalyDetection", ["q", "n"], ["score", "y_pred"], variant="local_outlier_factor", offset=-1.5, n_neighbors=4, reference_samples=_POINTS)],
+      {"score": "z", "y_pred": "CASE WHEN z + 1.5 >= 0 THEN 1 ELSE -1 END"}, lets=_FACTOR)
 
 # Composite and a whole pipeline
 

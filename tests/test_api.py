@@ -128,6 +128,26 @@ def test_reshape_rows_and_sparse(spark):
     assert df.where("i = 0").select(to_sparse(df["x"]).alias("m")).first()["m"] == {1: 1.0}
 
 
+def test_error_kinds(spark):
+    from quillon.functions import expressions as kinds
+
+    df = spark.createDataFrame([(1.0,)], "x0 double")
+    graph = lambda *nodes, out="a": {"version": "0.1.0", "inputs": ["x0"], "outputs": [out], "nodes": list(nodes)}
+    cases = [
+        (kinds.UnknownOperator, lambda: ScoringModel(graph(node("core.Nothing", ["x0"], ["a"]))).transform(df)),
+        (kinds.MissingInput, lambda: ScoringModel(graph(node("core.Identity", ["y"], ["a"]))).transform(df)),
+        (kinds.MissingInput, lambda: ScoringModel(STUMP).transform(df)),
+        (kinds.MissingAttribute, lambda: ScoringModel(graph(node("model.TreeEnsemble", ["x0"], ["a"]))).transform(df)),
+        (kinds.UnknownOutput, lambda: ScoringModel(graph(node("core.Identity", ["x0"], ["a"]))).transform(df, ["b"])),
+        (kinds.BadShape, lambda: ScoringModel(STUMP).predict([[1.0, 2.0, 3.0]])),
+        (kinds.BadFormat, lambda: ScoringModel.loads("no json")),
+    ]
+    for kind, call in cases:
+        with pytest.raises(kind) as e:
+            call()
+        assert isinstance(e.value, GraphError) and e.value.kind != GraphError.kind
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in.csv").write_text("0,1\n0.7,\nx,3\n")
     df = read_matrix_csv(spark, str(tmp_path / "in.csv"), ["x0", "x1"])
@@ -135,6 +155,14 @@ def test_files(spark, tmp_path):
     write_scores_csv(model.transform(df), str(tmp_path / "out"), ["score", "both"])
     lines = [line for f in sorted(os.listdir(tmp_path / "out")) if f.startswith("part") for line in (tmp_path / "out" / f).read_text().splitlines()]
     assert lines[:3] == ["score,both_0,both_1", "2.000000,0.000000,2.000000", "-2.000000,0.700000,-2.000000"]
+    some = spark.createDataFrame([(None,), ([1.0, 2.0],)], "both array<double>").coalesce(1)
+    with pytest.raises(ValueError):
+        write_scores_csv(some, str(tmp_path / "no"), ["both"])
+    write_scores_csv(some, str(tmp_path / "null"), ["both"], {"both": 2})
+    part = next(f for f in os.listdir(tmp_path / "null") if f.startswith("part"))
+    assert [x.replace('""', "") for x in (tmp_path / "null" / part).read_text().splitlines()] == ["both_0,both_1", ",", "1.000000,2.000000"]
+    with pytest.raises(Exception, match="not 1 wide"):
+        write_scores_csv(some, str(tmp_path / "bad"), ["both"], {"both": 1})
     for kind in ("parquet", "orc", "json"):
         write_table(df, str(tmp_path / kind), kind)
         assert read_table(spark, str(tmp_path / kind), kind).count() == 3

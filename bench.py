@@ -45,8 +45,12 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     forest = big_forest()
+    # the file is one row group, so one task reads it; the published figure is of arrays in memory, and so is this one
+    lines = workload.LINES.frame(spark, SF_DIR).repartition(int(CPUS) * 2).cache()
+    lines.count()
     runs = {n: (lambda q=workload.QUERIES[n]: q(spark, SF_DIR)) for n in NAMED}
-    runs["forest_500x6"] = lambda: forest.transform(workload.LINES.frame(spark, SF_DIR)).select("l_orderkey", "score")
+    runs["forest_500x6"] = lambda: forest.transform(lines).select("l_orderkey", "score")
+    runs["forest_500x6_from_file"] = lambda: forest.transform(workload.LINES.frame(spark, SF_DIR)).select("l_orderkey", "score")
     seconds = {}
     for name, run in runs.items():
         times = []

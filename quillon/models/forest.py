@@ -11,7 +11,7 @@ be too large are walked level by level.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from copy import copy
 from dataclasses import dataclass
 
@@ -404,10 +404,19 @@ def _class(value: list[float]) -> int:
     return int(value[0]) if len(value) == 1 else int(np.argmax(value))
 
 
+#: Forests that were built last, by the declaration that they were built of: a loaded graph is applied many times.
+_BUILT: dict[tuple, tuple[list, Callable, int]] = {}
+FORESTS_AT_HAND = 8
+
+
 def score(ins: list[Value], ctx: Context) -> list[Column]:
     """Raw outputs of the node's trees."""
     x = [c for v in ins for c in v.cols]
-    trees = [Tree.of(nodes) for nodes in ctx.need("trees")]
+    raw = ctx.need("trees")
+    key = (id(raw), len(x), *(repr(ctx.get(n)) for n in ("aggregation", "tree_group", "n_outputs", "base_score", "tree_weights", "engine")))
+    if key in _BUILT and _BUILT[key][0] is raw:
+        return kernel(ctx.spark, _BUILT[key][1], x, _BUILT[key][2])
+    trees = [Tree.of(nodes) for nodes in raw]
     if not trees:
         raise GraphError("there are no trees")
     aggregation = str(ctx.get("aggregation", "sum"))
@@ -427,5 +436,9 @@ def score(ins: list[Value], ctx: Context) -> list[Column]:
     small = len(trees) <= CASE_TREES and max(len(t.feature) for t in trees) <= CASE_NODES
     if ctx.get("engine") == "case" or any(p is not None for t in trees for p in t.pred) or (small and ctx.get("engine") != "kernel"):
         return ensemble.columns(x, ctx.env)
-    return kernel(ctx.spark, ensemble.run(Forest(trees, len(x))), x, n_out)
+    run = ensemble.run(Forest(trees, len(x)))
+    while len(_BUILT) >= FORESTS_AT_HAND:
+        _BUILT.pop(next(iter(_BUILT)))
+    _BUILT[key] = raw, run, n_out
+    return kernel(ctx.spark, run, x, n_out)
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.expressions import GraphError
-from ..operators.registry import Context, Value, argmax, matrix, operator, total
+from ..operators.kernels import sparse_dot
+from ..operators.registry import Context, Value, argmax, matrix, operator, sparse, total
 from .post import softmax
 
 
@@ -63,6 +64,9 @@ def naive_bayes(ins: list[Value], ctx: Context):
     variant = str(ctx.get("variant", "gaussian"))
     if variant not in _VARIANTS or not priors:
         raise GraphError("a known variant and class_log_priors are needed")
-    logs = _VARIANTS[variant](matrix(ins), ctx, len(priors))
+    if (wide := sparse(ins)) and variant == "multinomial":
+        logs = sparse_dot(ctx.spark, wide, np.asarray(ctx.need("feature_log_prob"), dtype=float).reshape(len(priors), -1))
+    else:
+        logs = _VARIANTS[variant](matrix(ins), ctx, len(priors))
     joint = [a + F.lit(b) for a, b in zip(logs, priors)]
     return [Value([argmax(joint)]), Value(softmax(joint))]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.values import flag
 from ..operators.kernels import kernel
 from ..operators.neighbours import kernel_matrix
-from ..operators.registry import Context, Value, argmax, dot, matrix, operator
+from ..operators.registry import Context, Value, argmax, matrix, operator
+from .linear import weighed
 from .post import post_transform
 
 #: Fixed values of the coupling: the smallest pairwise and class probabilities, and the tolerance over the number of classes.
@@ -25,31 +26,25 @@ def platt(f: Column, a: float, b: float) -> Column:
 def couple(r: np.ndarray) -> np.ndarray:
     """Class probabilities [rows, classes] from pairwise ones [rows, classes, classes], by the second method of Wu, Lin and Weng (2004).
 
+    A round moves each probability in turn to where its own condition holds, given the others, and scales all to one.
     Rows that have converged stand still; the others go on, at most max(100, classes) rounds.
     """
     n, k, _ = r.shape
-    q = -np.swapaxes(r, 1, 2) * r
-    off = np.swapaxes(r, 1, 2) ** 2
-    off[:, np.arange(k), np.arange(k)] = 0
-    q[:, np.arange(k), np.arange(k)] = off.sum(axis=2)
+    back = np.swapaxes(r, 1, 2)
+    q = np.where(np.eye(k, dtype=bool), (back**2 * ~np.eye(k, dtype=bool)).sum(axis=2)[:, :, None], -back * r)
     p = np.full((n, k), 1.0 / k)
     live = np.arange(n)
     for _ in range(max(100, k)):
-        qp = np.einsum("nij,nj->ni", q[live], p[live])
-        pqp = (p[live] * qp).sum(axis=1)
-        going = np.abs(qp - pqp[:, None]).max(axis=1) >= TOLERANCE / k
-        live, qp, pqp = live[going], qp[going], pqp[going]
+        now = p[live]
+        slope = np.einsum("nij,nj->ni", q[live], now)
+        going = np.abs(slope - (now * slope).sum(axis=1, keepdims=True)).max(axis=1) >= TOLERANCE / k
+        live, now = live[going], now[going]
         if not len(live):
             break
-        now = p[live]
         for t in range(k):
-            own = q[live, t, t]
-            step = (pqp - qp[:, t]) / own
-            now[:, t] += step
-            grown = 1 + step
-            pqp = (pqp + step * (step * own + 2 * qp[:, t])) / grown / grown
-            qp = (qp + step[:, None] * q[live, t]) / grown[:, None]
-            now /= grown[:, None]
+            slope = np.einsum("nij,nj->ni", q[live], now)
+            now[:, t] += ((now * slope).sum(axis=1) - slope[:, t]) / q[live, t, t]
+            now /= now.sum(axis=1, keepdims=True)
             now[:, t] = np.maximum(now[:, t], LEAST)
         p[live] = now
     return p
@@ -104,11 +99,10 @@ def svm(ins: list[Value], ctx: Context):
     classes' Platt probabilities where prob_a is given, else the decision. Of
     more outputs, and of pairwise probabilities, the largest wins.
     """
-    x = matrix(ins)
     if ctx.get("support_vectors") is None:
-        rows = np.asarray(ctx.need("coefficients"), dtype=float).reshape(-1, len(x))
-        raw = [dot(x, r.tolist()) + b for r, b in zip(rows, ctx.numbers("intercept", len(rows), 0.0))]
+        raw = [c + b for c, b in weighed(ins, ctx)]
     else:
+        x = matrix(ins)
         decision = _Decision(ctx, len(x))
         raw = kernel(ctx.spark, decision, x, decision.width)
         if decision.pairwise:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.expressions import GraphError, compile_expr
+from ..functions.expressions import BadShape, GraphError, compile_expr
 from ..functions.values import flag, holds
 from .registry import Context, Value, argmax, matrix, operator, total
 
@@ -94,11 +94,11 @@ def cast(ins: list[Value], ctx: Context):
 
 @operator("core", "Reshape")
 def reshape(ins: list[Value], ctx: Context):
-    """Within a row only; a shape that changes the number of rows goes by plans.reshape_rows."""
+    """Within a row; a shape that changes the number of rows is the compiler's, and needs the attribute order."""
     shape = [int(n) for n in ctx.need("new_shape")]
     cols = matrix(ins)
     if shape[-1] not in (-1, len(cols)):
-        raise GraphError("this shape changes the number of rows: use quillon.plans.reshape_rows")
+        raise BadShape("this shape changes the number of rows: it needs the attribute order")
     return cols
 
 
@@ -148,6 +148,7 @@ def select(ins: list[Value], ctx: Context):
 
 @operator("core", "SparseToDense")
 def sparse_to_dense(ins: list[Value], ctx: Context):
+    """Values are dense between nodes, but for a sparse value of more features than columns can hold, which is an error here."""
     return matrix(ins)
 
 

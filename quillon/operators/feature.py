@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 from itertools import product
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import GraphError
 from ..functions.values import flag, holds, missing
 from ..models.post import np_probit, probit
-from .kernels import kernel
-from .registry import Context, Value, argmax, dot, matrix, operator, total  # noqa: F401
+from .kernels import kernel, sparse_dot, sparse_map
+from .registry import Context, Value, argmax, dot, matrix, operator, sparse, total  # noqa: F401
 
 
 def _lit(v: float | None) -> Column:
@@ -58,9 +59,22 @@ def min_max_scaler(ins: list[Value], ctx: Context):
     return [c * F.lit(hi - lo) + F.lit(lo) for c in _shift_scale(ins, ctx, "data_min", "data_max")]
 
 
+def _normed(kind: str, n: int, rows: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A sparse value's entries by their row's norm."""
+    if kind == "max":
+        norm = np.zeros(n)
+        np.maximum.at(norm, rows, np.abs(x))
+    else:
+        norm = np.bincount(rows, np.abs(x) if kind == "l1" else x * x, n)
+        norm = norm if kind == "l1" else np.sqrt(norm)
+    return x / np.where(norm > 1e-12, norm, 1.0)[rows]
+
+
 @operator("feature", "Normalizer")
 def normalizer(ins: list[Value], ctx: Context):
     """By the row's l1, max or else l2 norm; a norm up to 1e-12 leaves the row as it is."""
+    if wide := sparse(ins):
+        return sparse_map(wide, partial(_normed, ctx.get("norm", "l2")))
     x, kind = matrix(ins), ctx.get("norm", "l2")
     if kind == "l1":
         norm = total([F.abs(c) for c in x])
@@ -441,6 +455,8 @@ def _components(ctx: Context, n: int, name: str = "components") -> np.ndarray:
 
 @operator("feature", "TruncatedSVD")
 def truncated_svd(ins: list[Value], ctx: Context):
+    if wide := sparse(ins):
+        return sparse_dot(ctx.spark, wide, _components(ctx, wide.size))
     x = matrix(ins)
     return project(x, _components(ctx, len(x)))
 

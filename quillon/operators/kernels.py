@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import BadShape
 from ..functions.values import no_nan
+from .registry import Value
 
 #: Rows that a kernel works on at once, so that its intermediates stay in cache.
 BLOCK = 4096
@@ -42,3 +44,35 @@ def kernel(spark: SparkSession | None, run: Callable[..., np.ndarray], cols: lis
 
     made = call(*cols)
     return [no_nan(F.get(made, F.lit(k))) for k in range(width)]
+
+
+def entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, the index and the value of each entry of a column of maps, row by row; NaN for NULL."""
+    ends = column.offsets.to_numpy(zero_copy_only=False)
+    there = slice(int(ends[0]), int(ends[-1]))
+    return np.repeat(np.arange(len(column)), np.diff(ends)), column.keys.to_numpy(zero_copy_only=False)[there], column.items.to_numpy(zero_copy_only=False)[there].astype(float)
+
+
+def sparse_dot(spark: SparkSession | None, value: Value, weights: np.ndarray) -> list[Column]:
+    """A sparse value times each row of weights; what it doesn't hold is zero."""
+    weights = np.ascontiguousarray(weights, dtype=float)
+    if weights.shape[1] != value.size:
+        raise BadShape(f"{weights.shape[1]} weights are given for {value.size} features")
+
+    def run(column: pa.Array) -> np.ndarray:
+        rows, at, x = entries(column)
+        return np.stack([np.bincount(rows, w[at] * x, len(column)) for w in weights], axis=1)
+
+    return kernel(spark, run, value.cols, len(weights), arrays=True)
+
+
+def sparse_map(value: Value, run: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Value:
+    """The sparse value with other numbers at its places: run gets the number of rows, and each entry's row, index and value."""
+
+    @F.arrow_udf("map<int,double>")
+    def call(column: pa.Array) -> pa.Array:
+        rows, at, x = entries(column)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(column))))).astype(np.int32)
+        return pa.MapArray.from_arrays(pa.array(ends), pa.array(at, pa.int32()), pa.array(run(len(column), rows, at, x)))
+
+    return Value([call(value.cols[0])], "map", size=value.size)

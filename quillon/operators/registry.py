@@ -14,11 +14,15 @@ from ..functions.values import missing
 
 @dataclass
 class Value:
-    """A row's value: one column for each of its elements, or for ``tokens`` a single array of strings."""
+    """A row's value: one column for each of its elements, or for ``tokens`` a single array of strings.
+
+    A ``map`` is a wide sparse value: one column of index to number, whose size is that of its dense form.
+    """
 
     cols: list[Column]
-    kind: str = "number"  # number, string or tokens
+    kind: str = "number"  # number, string, tokens or map
     names: list[str] | None = None
+    size: int = 0
 
     @property
     def width(self) -> int:
@@ -78,6 +82,8 @@ def operator(domain: str, name: str, *aliases: str):
 
 def matrix(ins: list[Value]) -> list[Column]:
     """All inputs side by side."""
+    if any(v.kind == "map" for v in ins):
+        raise BadShape("this operator takes no sparse value of so many features")
     return [c for v in ins for c in v.cols]
 
 
@@ -96,6 +102,11 @@ def dealt(result: object, n_out: int) -> list[Value]:
     return [Value([c]) for c in result[:n_out]]
 
 
+def sparse(ins: list[Value]) -> Value | None:
+    """The input, if it is a single sparse value."""
+    return ins[0] if len(ins) == 1 and ins[0].kind == "map" else None
+
+
 def argmax(cols: list[Column]) -> Column:
     """Index of the first largest column; missing ones never win, and none gives 0."""
     if len(cols) == 1:
@@ -125,4 +136,4 @@ def dot(cols: list[Column], weights: list[float]) -> Column:
     return total([c * F.lit(float(w)) for c, w in zip(cols, weights)])
 
 
-__all__ = ["OPERATORS", "Context", "Expr", "GraphError", "Value", "argmax", "argmin", "dealt", "dot", "matrix", "missing", "operator", "total"]
+__all__ = ["OPERATORS", "Context", "Expr", "GraphError", "Value", "argmax", "argmin", "dealt", "dot", "matrix", "missing", "operator", "sparse", "total"]

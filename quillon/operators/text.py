@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.expressions import GraphError
-from .kernels import kernel
-from .registry import Context, Value, operator
+from .kernels import kernel, sparse_map
+from .registry import Context, Value, operator, sparse
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACE = r"[ \t\n\x0B\f\r]"
@@ -169,44 +168,49 @@ def count_vectorizer(ins: list[Value], ctx: Context):
     return kernel(ctx.spark, run, [tokens], len(words), arrays=True)
 
 
-def murmur3(data: bytes, seed: int = 42) -> int:
-    """murmur3_x86_32, signed."""
-    mask, h = 0xFFFFFFFF, seed
-    turn = lambda x, n: (x << n | x >> (32 - n)) & mask
+#: Fixed values of murmur3_x86_32: the multipliers of a block, the addend of a round, the multipliers of the end.
+BLOCK_1, BLOCK_2, ROUND, LAST_1, LAST_2 = map(np.uint32, (0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35))
 
-    def mixed(k: int) -> int:
-        return turn(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
 
-    whole = len(data) // 4 * 4
-    for i in range(0, whole, 4):
-        h = (turn(h ^ mixed(int.from_bytes(data[i : i + 4], "little")), 13) * 5 + 0xE6546B64) & mask
-    if data[whole:]:
-        h ^= mixed(int.from_bytes(data[whole:], "little"))
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & mask
-    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
+def murmur3(tokens: list[str], seed: int = 42) -> np.ndarray:
+    """murmur3_x86_32 of the tokens' UTF-8, signed: all tokens at once, block by block, the longest to the end."""
+    data = [t.encode("utf-8") for t in tokens]
+    size = np.array([len(d) for d in data], dtype=np.int64)
+    text = np.frombuffer(b"".join(data) + bytes(4), dtype=np.uint8).astype(np.uint32)
+    start, order = np.cumsum(size) - size, np.argsort(-size, kind="stable")
+    left = np.cumsum(np.bincount(size // 4)[::-1])[::-1] if len(data) else []
+    h = np.full(len(data), seed, dtype=np.uint32)
 
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return x << np.uint32(n) | x >> np.uint32(32 - n)
 
-@lru_cache(1 << 18)
-def _hashed(token: str) -> int:
-    return murmur3(token.encode("utf-8"))
+    def read(at: np.ndarray, bytes_: np.ndarray | int) -> np.ndarray:
+        block = sum(np.where(bytes_ > k, text[np.minimum(at + k, len(text) - 1)], np.uint32(0)) << np.uint32(8 * k) for k in range(4))
+        return turned(block * BLOCK_1, 15) * BLOCK_2
+
+    for block in range(len(left) - 1):
+        on = order[: left[block + 1]]
+        h[on] = turned(h[on] ^ read(start[on] + 4 * block, 4), 13) * np.uint32(5) + ROUND
+    h ^= read(start + size // 4 * 4, size % 4) ^ size.astype(np.uint32)
+    for shift, factor in ((16, LAST_1), (13, LAST_2)):
+        h = (h ^ h >> np.uint32(shift)) * factor
+    return (h ^ h >> np.uint32(16)).astype(np.int32).astype(np.int64)
 
 
 @operator("text", "HashingVectorizer")
 def hashing_vectorizer(ins: list[Value], ctx: Context):
     """Counts by murmur3 of the tokens, modulo num_features; with alternate_sign a negative hash counts down.
 
-    Up to 4096 features are dense columns; more come as one map of index to
-    value, which only the last node of a graph can make.
+    Up to 4096 features are dense columns; more are a sparse value, one map of
+    index to value, which TfIdfTransformer, Normalizer, TruncatedSVD, linear
+    models and multinomial naive Bayes read, and which a graph may return.
     """
     n, binary, signed = int(ctx.get("num_features", 1 << 18)), ctx.get("binary", False), ctx.get("alternate_sign", False)
 
     def cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places (row times num_features plus index), sorted, and their values. Each distinct token of a batch is hashed once."""
         rows, codes, distinct = _coded(column)
-        hashes = np.array([_hashed(t) for t in distinct], dtype=np.int64)
+        hashes = murmur3(distinct)
         step = np.where(signed & (hashes < 0), -1.0, 1.0)[codes]
         at = rows * n + (hashes % n)[codes]
         places, inverse = np.unique(at, return_inverse=True)
@@ -227,16 +231,19 @@ def hashing_vectorizer(ins: list[Value], ctx: Context):
         return kernel(ctx.spark, run, [_some(_tokens(ins))], n, arrays=True)
 
     @F.arrow_udf("map<int,double>")
-    def sparse(column: pa.Array) -> pa.Array:
+    def hashed(column: pa.Array) -> pa.Array:
         places, values = cells(column)
         ends = np.searchsorted(places, np.arange(len(column) + 1) * n).astype(np.int32)
         return pa.MapArray.from_arrays(pa.array(ends), pa.array((places % n).astype(np.int32)), pa.array(values))
 
-    return Value([sparse(_some(_tokens(ins)))], "map")
+    return Value([hashed(_some(_tokens(ins)))], "map", size=n)
 
 
 @operator("text", "TfIdfTransformer")
 def tf_idf_transformer(ins: list[Value], ctx: Context):
+    if wide := sparse(ins):
+        idf = np.array(ctx.numbers("idf", wide.size, 1.0), dtype=float)
+        return sparse_map(wide, lambda n, rows, at, x: x * idf[at])
     cols = [c for v in ins for c in v.cols]
     return [c * w for c, w in zip(cols, ctx.numbers("idf", len(cols), 1.0))]
 

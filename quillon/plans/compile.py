@@ -21,7 +21,7 @@ from ..functions.policies import apply_policy
 from ..functions.values import missing, number
 from ..models import anomaly, bayes, clusters, linear, networks, svm, trees  # noqa: F401
 from ..operators import OPERATORS, Value
-from ..operators.registry import Context, dealt
+from ..operators.registry import Context, dealt, matrix
 from .spec import Graph, Input, Node
 
 HIDDEN = "__q"
@@ -36,6 +36,7 @@ class _Plan:
 
     def __init__(self, graph: Graph, df: DataFrame):
         self.graph, self.df, self.n = graph, df, 0
+        self.own = list(df.columns)
 
     def keep(self, values: list[Value]) -> list[Value]:
         """The values as columns of the frame."""
@@ -47,7 +48,7 @@ class _Plan:
                 self.n += 1
                 new.append(c.alias(name))
                 cols.append(F.col(name))
-            out.append(Value(cols, v.kind, v.names))
+            out.append(Value(cols, v.kind, v.names, v.size))
         self.df = self.df.select("*", *new)
         return out
 
@@ -91,6 +92,8 @@ class _Plan:
                 scope[b] = self.read(a, scope)
             return
         ins = [self.read(n, scope) for n in node.inputs]
+        if node.op == "core.Reshape" and self.reshape(node, ins, scope):
+            return
         first = {k: (v.cols[0] if v.kind == "number" and v.cols else missing()) for k, v in scope.items()}
         constants = {k: F.lit(float(v)) for k, v in self.graph.constants.items() if isinstance(v, (int, float))}
         ctx = Context(self.df.sparkSession, self.attrs(node.attrs), len(node.outputs), node.inputs, node.outputs, constants | first, self.graph.functions)
@@ -98,6 +101,26 @@ class _Plan:
         scope.update(zip(node.outputs, self.keep(made)))
 
 
+    def reshape(self, node: Node, ins: list[Value], scope: dict[str, Value]) -> bool:
+        """Whether the node makes other rows; then only its value, the order's column (the new rows, from 0) and by's are left."""
+        attrs, cols = self.attrs(node.attrs), matrix(ins)
+        width = int(attrs["new_shape"][-1]) if attrs.get("new_shape") else -1
+        if width in (-1, len(cols)) or not attrs.get("order"):
+            return False
+        order, by = str(attrs["order"]), attrs.get("by")
+        if width < 1:
+            raise BadShape(f"rows of {width} values can't be")
+        if absent := {c for c in (order, by) if c and c not in self.own}:
+            raise MissingInput(f"the data has no column {', '.join(sorted(absent))}")
+        kept = [named(c) for c in (order, by) if c]
+        made = reshape_rows(self.df.select(*kept, F.array(*cols).alias(HIDDEN)), HIDDEN, width, order, by)
+        self.own = [order, *([by] if by else [])]
+        self.df = made.select(F.col("row").alias(order), *kept[1:], HIDDEN)
+        scope.clear()
+        scope[node.outputs[0]] = self.keep([Value([F.get(F.col(HIDDEN), F.lit(k)) for k in range(width)])])[0]
+        return True
+
+
 def _inputs(graph: Graph, df: DataFrame, vector: str | None) -> tuple[list[Input], list[Value]]:
     out, at = [], 0
     for i in graph.inputs:
@@ -125,7 +148,10 @@ def apply_graph(graph: Graph, df: DataFrame, outputs: list[str] | None = None, v
 
     Wide outputs are arrays. vector names an array column to be dealt out
     over all inputs in order. An output replaces a column of its name. Works
-    on streams as well: every row is scored by itself.
+    on streams as well: every row is scored by itself, unless the graph has a
+    Reshape that makes other rows. That one reads on through the rows by the
+    column named by its attribute order (unique numbers; with by, within each
+    group); what it doesn't make is out of reach of later nodes and outputs.
     """
     plan = _Plan(graph, df)
     declared, values = _inputs(graph, df, vector)
@@ -146,7 +172,7 @@ def apply_graph(graph: Graph, df: DataFrame, outputs: list[str] | None = None, v
         c = v.cols[0] if v.width == 1 else F.array(*v.cols)
         made.append(c.alias(o.name, metadata=({"role": o.role} if o.role else {}) | ({"width": v.width} if v.width != 1 else {})))
     names = {o.name for o in wanted}
-    return plan.df.select(*[named(c) for c in df.columns if c not in names], *made)
+    return plan.df.select(*[named(c) for c in plan.own if c not in names], *made)
 
 
 RANGES = 200

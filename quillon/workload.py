@@ -82,19 +82,17 @@ def whole(df: DataFrame, keys: tuple[str, ...], outputs: list[str], widths: Mapp
     return df.select(*cols)
 
 
-def query(name: str, base: Base, nodes: list[dict], want: Mapping[str, str | list[str]] | None, texts: tuple[str, ...] = (), lets: str = "", widths: Mapping[str, int] | None = None, **graph: object) -> None:
+def query(name: str, base: Base, nodes: list[dict], want: Mapping[str, str | list[str]], texts: tuple[str, ...] = (), lets: str = "", **graph: object) -> None:
     """Registers a query; want maps outputs to SQL, a list for an array. lets: further SQL between base and outputs, reading ``b`` and giving ``c``."""
-    outputs = list(want or widths or ())
+    outputs = list(want)
     spec = Graph.of({"version": "0.1.0", "inputs": base.inputs(), "nodes": nodes, "outputs": outputs, **graph})
-    sizes = dict(widths or {}) | {k: len(v) for k, v in (want or {}).items() if isinstance(v, list)}
+    sizes = {k: len(v) for k, v in want.items() if isinstance(v, list)}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = base.frame(spark, sf_dir)
         return whole(apply_graph(spec, df), base.keys, outputs, sizes)
 
     QUERIES[name] = run
-    if want is None:
-        return
     cols = [(k, s) for k, v in want.items() for k, s in ([(f"{k}_{i}", x) for i, x in enumerate(v)] if isinstance(v, list) else [(k, v)])]
     body = ", ".join(f"{s} AS {k}" if k in texts else f"CAST(floor(CAST(({s}) AS DOUBLE) * 1e6 + 0.5) AS BIGINT) AS {k}" for k, s in cols)
     ORACLES[name] = f"WITH b AS ({base.sql()}){', ' + lets if lets else ''} SELECT {', '.join(base.keys)}, {body} FROM {'c' if lets else 'b'}"
@@ -142,6 +140,9 @@ query("core_cast", LINES, [node("core.Cast", "e", "i", output_dtype="int64"), no
 query("core_reshape_split", LINES, [
     node("core.Concat", ["q", "e", "d"], "w"), node("core.Reshape", "w", "r", new_shape=[-1, 3]), node("core.Split", "r", ["a", "c"], sections=[1, 2]),
 ], {"a": "q", "c": ["e", "d"]})
+query("core_reshape_across", EVENTS, [node("core.Concat", ["v", "u"], "w"), node("core.Reshape", "w", "a", new_shape=[-1, 3], order="event_id")], {"a": ["x0", "x1", "x2"]}, lets="""
+l AS (SELECT event_id, 0 AS i, v AS x FROM b UNION ALL SELECT event_id, 1, u FROM b), p AS (SELECT x, row_number() OVER (ORDER BY event_id, i) - 1 AS pos FROM l),
+c AS (SELECT pos // 3 AS event_id, max(x) FILTER (pos % 3 = 0) AS x0, max(x) FILTER (pos % 3 = 1) AS x1, max(x) FILTER (pos % 3 = 2) AS x2 FROM p GROUP BY pos // 3)""")
 query("core_derive", LINES, [
     node("core.Concat", ["q", "e"], "w"), node("core.Derive", "w", "x", expr="w / (1 + d)"), node("core.Derive", ["q"], "y", expr="twice(q) - t"),
 ], {"x": ["q / (1 + d)", "e / (1 + d)"], "y": "2 * q - t"}, functions={"twice": {"params": ["a"], "body": "a + a"}})
@@ -354,7 +355,41 @@ _VECTORS = [[1.0, 0.5], [0.25, -1.0], [2.0, 0.0], [-0.5, 1.5], [0.75, 0.75]]
 _KNOWN = "(" + " + ".join(_COUNTS) + ")"
 query("text_word2vec", TEXTS, [node("text.Tokenizer", "text", "w"), node("text.Word2Vec", "w", "a", vocabulary=_VOCABULARY, vectors=_VECTORS)], {
     "a": [f"CASE WHEN {_KNOWN} > 0 THEN ({' + '.join(f'{c} * {num(v[k])}' for c, v in zip(_COUNTS, _VECTORS))}) / {_KNOWN} ELSE 0 END" for k in range(2)]}, lets=f"c AS (SELECT doc_id, {_TOKENS} AS w FROM b)")
-query("text_hashing", TEXTS, [node("text.Tokenizer", "text", "w"), node("text.HashingVectorizer", "w", "a", num_features=16, alternate_sign=True)], None, widths={"a": 16})
+
+
+def _hash_sql() -> str:
+    """Tables up to ``hashed``: each distinct token's murmur3_x86_32 of seed 42, signed; and ``words``: each document's tokens."""
+    word = lambda at, n: "('0x' || " + " || ".join(f"substr(x, {at} + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UBIGINT"
+    turn = lambda v, n: f"((({v}) << {n}) | (({v}) >> {32 - n})) & 4294967295"
+    mixed = lambda v: f"(({turn(f'(({v}) * 3432918353) & 4294967295', 15)}) * 461845907) & 4294967295"
+    step = f"(({turn('xor(h, k)', 13)}) * 5 + 3864292196) & 4294967295"
+    tail = "CASE n % 4 " + " ".join(f"WHEN {r} THEN {mixed(word('8 * (n // 4)', r))}" for r in (1, 2, 3)) + " ELSE 0::UBIGINT END"
+    return f"""words AS (SELECT doc_id, {_TOKENS} AS w FROM b),
+tokens AS (SELECT t, hex(encode(t)) AS x, strlen(t) AS n FROM (SELECT DISTINCT unnest(w) AS t FROM words)),
+rounds AS (SELECT t, n, list_reduce([42::UBIGINT] || list_transform(range(n // 4), lambda i: {mixed(word('8 * i', 4))}), lambda h, k: {step}) AS h, {tail} AS e FROM tokens),
+ends AS (SELECT t, xor(xor(h, e), n::UBIGINT) AS h FROM rounds),
+ends1 AS (SELECT t, (xor(h, h >> 16) * 2246822507) & 4294967295 AS h FROM ends),
+ends2 AS (SELECT t, (xor(h, h >> 13) * 3266489909) & 4294967295 AS h FROM ends1),
+ends3 AS (SELECT t, xor(h, h >> 16) AS h FROM ends2),
+hashed AS (SELECT t, CASE WHEN h >= 2147483648 THEN h::BIGINT - 4294967296 ELSE h::BIGINT END AS h FROM ends3)"""
+
+
+def _cells_sql(n: int) -> str:
+    """Table ``cells``: each document's sums by feature; a negative hash counts down."""
+    return f"""{_hash_sql()},
+cells AS (SELECT doc_id, ((h % {n}) + {n}) % {n} AS i, sum(CASE WHEN h < 0 THEN -1 ELSE 1 END)::DOUBLE AS x FROM (SELECT doc_id, unnest(w) AS t FROM words) JOIN hashed USING (t) GROUP BY ALL)"""
+
+
+query("text_hashing", TEXTS, [node("text.Tokenizer", "text", "w"), node("text.HashingVectorizer", "w", "a", num_features=16, alternate_sign=True)], {"a": [f"a{i}" for i in range(16)]}, lets=f"""{_cells_sql(16)},
+c AS (SELECT doc_id, {', '.join(f'coalesce(sum(x) FILTER (i = {i}), 0) AS a{i}' for i in range(16))} FROM b LEFT JOIN cells USING (doc_id) GROUP BY doc_id)""")
+_MANY = 1 << 18
+query("text_hashing_wide", TEXTS, [
+    node("text.Tokenizer", "text", "w"), node("text.HashingVectorizer", "w", "h", alternate_sign=True), node("text.TfIdfTransformer", "h", "k", idf={"const": "idf"}),
+    node("feature.Normalizer", "k", "z", norm="l2"), node("model.Linear", "z", "a", coefficients={"const": "weights"}, intercept=[0.5, -0.25]),
+], {"a": ["s0 + 0.5", "s1 - 0.25"]}, constants={"idf": [1 + i % 5 / 4 for i in range(_MANY)], "weights": [[((7 * i + 3 * c) % 11 - 5) / 8 for i in range(_MANY)] for c in range(2)]}, lets=f"""{_cells_sql(_MANY)},
+tfs AS (SELECT doc_id, i, x * (1 + (i % 5) / 4) AS x FROM cells),
+sums AS (SELECT doc_id, sqrt(sum(x * x)) AS z, {', '.join(f'sum(x * ((7 * i + {3 * c}) % 11 - 5) / 8) AS d{c}' for c in range(2))} FROM tfs GROUP BY doc_id),
+c AS (SELECT doc_id, {', '.join(f'coalesce(CASE WHEN z > 1e-12 THEN d{c} / z ELSE d{c} END, 0) AS s{c}' for c in range(2))} FROM b LEFT JOIN sums USING (doc_id))""")
 
 for _name in ("text_normalise", "text_tokenizers", "text_ngram_stopwords"):
 
@@ -581,8 +616,38 @@ for _kind, (_g, _c0, _deg) in {"rbf": (0.01, 0.0, 3), "poly": (0.001, 1.0, 3), "
         node("model.SVM", ["q", "n"], "a", support_vectors=_SV, dual_coefficients=[_ALPHA], intercept=[0.1], kernel=_kind, gamma=_g, coef0=_c0, degree=_deg),
         node("model.SVM", ["q", "n"], ["l", "p"], support_vectors=_SV, dual_coefficients=[_ALPHA], intercept=[0.1], kernel=_kind, gamma=_g, coef0=_c0, degree=_deg, prob_a=[-1.5], prob_b=[0.2]),
     ], {"a": "z", "l": "CASE WHEN z >= 0 THEN 1 ELSE 0 END", "p": ["1 / (1 + exp(-1.5 * -z + 0.2))", "1 - 1 / (1 + exp(-1.5 * -z + 0.2))"]}, lets=f"c AS (SELECT *, {_raw} AS z FROM b)")
-query("model_svm_pairwise", LINES, [node("model.SVM", ["q", "n"], ["l", "p"], support_vectors=[[5, 1], [10, 2], [25, 3], [30, 4], [45, 5], [48, 6]], n_support=[2, 2, 2], dual_coefficients=[[1, 0.5, -0.8, -0.7, -0.4, -0.6], [0.6, 0.9, 0.5, 0.5, -0.9, -0.1]],
-      intercept=[0.1, -0.1, 0.05], kernel="rbf", gamma=0.005, prob_a=[-2, -1.5, -1.8], prob_b=[0.1, 0, -0.1])], None, widths={"l": 1, "p": 3})
+_PAIR_SV, _PAIR_DUAL = [[5, 1], [10, 2], [25, 3], [30, 4], [45, 5], [48, 6]], [[1, 0.5, -0.8, -0.7, -0.4, -0.6], [0.6, 0.9, 0.5, 0.5, -0.9, -0.1]]
+_PAIRS, _PAIR_B, _PLATT_A, _PLATT_B = [(0, 1), (0, 2), (1, 2)], [0.1, -0.1, 0.05], [-2, -1.5, -1.8], [0.1, 0, -0.1]
+
+
+def _coupling_sql() -> str:
+    """Tables up to ``c``: b with p0, p1, p2, the coupled probabilities of three classes of two support vectors each, round by round."""
+    rbf = ", ".join(f"exp(-0.005 * ((q - {x}) * (q - {x}) + (n - {y}) * (n - {y}))) AS k{i}" for i, (x, y) in enumerate(_PAIR_SV))
+    own = lambda c, other: " + ".join(f"k{v} * {num(_PAIR_DUAL[other][v])}" for v in (2 * c, 2 * c + 1))
+    decision = lambda i, j, w: f"{own(i, j - 1)} + {own(j, i)} + {num(_PAIR_B[w])}"
+    sure = ", ".join(f"greatest(1e-7, least(1 - 1e-7, 1 / (1 + exp({num(_PLATT_A[w])} * ({decision(i, j, w)}) + {num(_PLATT_B[w])})))) AS r{i}{j}" for w, (i, j) in enumerate(_PAIRS))
+    both = ", ".join(f"1 - r{i}{j} AS r{j}{i}" for i, j in _PAIRS)
+    q = lambda i, j: " + ".join(f"r{k}{i} * r{k}{i}" for k in range(3) if k != i) if i == j else f"-r{j}{i} * r{i}{j}"
+    cells = [f"q{i}{j}" for i in range(3) for j in range(3)]
+    fixed = ", ".join(["q", "n", *cells])
+    slopes = ", ".join(f"q{i}0 * p0 + q{i}1 * p1 + q{i}2 * p2 AS s{i}" for i in range(3))
+    mean = "(p0 * s0 + p1 * s1 + p2 * s2)"
+    inner = f"SELECT *, {slopes} FROM it"
+    inner = f"SELECT {fixed}, turn, p0, p1, p2 FROM ({inner}) WHERE turn < 100 AND greatest({', '.join(f'abs(s{i} - {mean})' for i in range(3))}) >= 0.005 / 3"
+    for t in range(3):
+        moved = ", ".join(f"p{i} + ({mean} - s{t}) / q{t}{t} AS m{i}" if i == t else f"p{i} AS m{i}" for i in range(3))
+        scaled = ", ".join(f"greatest(1e-7, m{i} / (m0 + m1 + m2)) AS p{i}" if i == t else f"m{i} / (m0 + m1 + m2) AS p{i}" for i in range(3))
+        inner = f"SELECT {fixed}, turn, {scaled} FROM (SELECT {fixed}, turn, {moved} FROM (SELECT *, {slopes} FROM ({inner})))"
+    return f"""kv AS (SELECT q, n, {rbf} FROM (SELECT DISTINCT q, n FROM b)),
+one AS (SELECT q, n, {sure} FROM kv), two AS (SELECT *, {both} FROM one),
+it AS (SELECT q, n, {', '.join(f'{q(i, j)} AS q{i}{j}' for i in range(3) for j in range(3))}, 0 AS turn, 1.0::DOUBLE / 3 AS p0, 1.0::DOUBLE / 3 AS p1, 1.0::DOUBLE / 3 AS p2 FROM two
+UNION ALL SELECT {fixed}, turn + 1, p0, p1, p2 FROM ({inner})),
+c AS (SELECT b.*, p0, p1, p2 FROM b JOIN (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY q, n ORDER BY turn DESC) = 1) z ON b.q = z.q AND b.n = z.n)"""
+
+
+query("model_svm_pairwise", LINES, [node("model.SVM", ["q", "n"], ["l", "p"], support_vectors=_PAIR_SV, n_support=[2, 2, 2], dual_coefficients=_PAIR_DUAL, intercept=_PAIR_B, kernel="rbf", gamma=0.005, prob_a=_PLATT_A, prob_b=_PLATT_B)],
+      {"l": argmax_sql(["p0", "p1", "p2"]), "p": ["p0", "p1", "p2"]}, lets=_coupling_sql())
+ORACLES["model_svm_pairwise"] = ORACLES["model_svm_pairwise"].replace("WITH ", "WITH RECURSIVE ", 1)
 _L1, _B1, _OUT, _B2 = [[0.1, -2.0], [-0.05, 3.0], [0.02, 1.0]], [0.1, 0.2, -0.1], [[0.5, -0.25, 1.0], [-0.5, 0.75, 0.25]], [0.05, -0.05]
 
 

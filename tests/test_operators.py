@@ -1,8 +1,9 @@
 import math
 
 import pytest
+from pyspark.ml.feature import HashingTF
 
-from quillon import GraphError
+from quillon import GraphError, ScoringModel
 
 from .helpers import apply, close, node, wide
 
@@ -203,3 +204,45 @@ def test_text(spark):
     tokens = spark.createDataFrame([(got["t"][0],)], "t array<string>")
     want = HashingTF(numFeatures=1 << 18, inputCol="t", outputCol="f").transform(tokens).first()["f"]
     assert got["m"][0] == dict(zip(want.indices.tolist(), want.values.tolist())) and sum(got["h"][0]) == 4
+
+
+def test_wide_sparse_values(spark):
+    words = ["alpha", "beta", "été", "😀", "a" * 41]
+    place = {w: HashingTF(numFeatures=1 << 18).indexOf(w) for w in words}
+    size = 1 << 18
+    weights = [[0.0] * size for _ in range(2)]
+    for k, w in enumerate(words):
+        weights[0][place[w]], weights[1][place[w]] = k + 1.0, -1.0
+    rows = [{"w": ["alpha", "alpha", "été"]}, {"w": [*words, ""]}, {"w": []}, {"w": None}, {"w": [None, "beta"]}]
+    got = apply(spark, rows, [
+        node("text.HashingVectorizer", "w", "h"), node("text.TfIdfTransformer", "h", "t", idf=[2.0] * size), *[node("feature.Normalizer", "h", k, norm=k) for k in ("l1", "max", "l2")],
+        node("model.Linear", "t", "lin", coefficients=weights, intercept=[1, 0]), node("feature.TruncatedSVD", "h", "svd", components=weights), node("model.SVM", "h", "svm", coefficients=weights, intercept=[0, 0]),
+        node("model.NaiveBayes", "h", ["c", "p"], variant="multinomial", feature_log_prob=weights, class_log_priors=[0, 0]),
+    ], ["h", "t", "l1", "max", "l2", "lin", "svd", "svm", "c"], types={"w": "tokens"})
+    assert got["h"][0] == {place["alpha"]: 2, place["été"]: 1} and got["h"][1] == {place[w]: 1 for w in words} and got["h"][2] == got["h"][3] == {} and got["h"][4] == {place["beta"]: 1}
+    assert got["t"][0] == {place["alpha"]: 4, place["été"]: 2}
+    close(got["l1"][0][place["alpha"]], 2 / 3)
+    close(got["max"][0][place["été"]], 0.5)
+    close(got["l2"][0][place["été"]], 5**-0.5)
+    close(got["lin"], [[11, -6], [31, -10], [1, 0], [1, 0], [5, -2]])
+    close(got["svd"], [[5, -3], [15, -5], [0, 0], [0, 0], [2, -1]])
+    assert got["svm"] == got["svd"] and got["c"] == [0, 0, 0, 0, 0]
+    for nodes in ([node("feature.Binarizer", "h", "b")], [node("core.SparseToDense", "h", "b")], [node("feature.TruncatedSVD", "h", "b", components=[[1.0] * 4])]):
+        with pytest.raises((GraphError, ValueError)):
+            apply(spark, rows, [node("text.HashingVectorizer", "w", "h"), *nodes], ["b"], types={"w": "tokens"})
+
+
+def test_reshape_across_rows(spark):
+    df = spark.createDataFrame([(1, "g", 1.0, 2.0, "x"), (5, "g", 3.0, None, "y"), (7, "h", 5.0, 6.0, None)], "i long, g string, a double, b double, other string")
+    wide = [node("core.Concat", ["a", "b"], "w")]
+    graph = {"version": "0.1.0", "inputs": ["a", "b"], "outputs": ["r"]}
+    got = ScoringModel({**graph, "nodes": [*wide, node("core.Reshape", "w", "r", new_shape=[-1, 4], order="i")]}).transform(df)
+    assert got.columns == ["i", "r"] and {r.i: r.r for r in got.collect()} == {0: [1, 2, 3, N], 1: [5, 6, N, N]}
+    one = ScoringModel({**graph, "nodes": [*wide, node("core.Reshape", "w", "c", new_shape=[-1, 1], order="i", by="g"), node("core.Clip", "c", "r", max=4)]}).transform(df)
+    assert sorted(((r.g, r.i, r.r) for r in one.collect()), key=str) == [("g", 0, 1), ("g", 1, 2), ("g", 2, 3), ("g", 3, N), ("h", 0, 4), ("h", 1, 4)]
+    assert ScoringModel({**graph, "nodes": [*wide, node("core.Reshape", "w", "r", new_shape=[-1, 4], order="i")]}).transform(df.limit(0)).count() == 0
+    for bad in (dict(new_shape=[-1, 4]), dict(new_shape=[-1, 4], order="absent"), dict(new_shape=[-1, 0], order="i")):
+        with pytest.raises(GraphError):
+            ScoringModel({**graph, "nodes": [*wide, node("core.Reshape", "w", "r", **bad)]}).transform(df)
+    with pytest.raises(GraphError):  # what the reshaping leaves behind is gone
+        ScoringModel({**graph, "nodes": [*wide, node("core.Reshape", "w", "z", new_shape=[-1, 4], order="i"), node("core.Sum", ["a", "b"], "r")]}).transform(df)

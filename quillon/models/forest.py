@@ -31,7 +31,7 @@ CASE_TREES, CASE_NODES = 2, 31
 TABLE_BYTES = 192 << 20
 LEAF = -1
 #: Rows and trees that are worked on at once, so that their tables and bits stay in cache.
-ROWS_AT_ONCE, TREES_AT_ONCE = 256, 64
+ROWS_AT_ONCE, TREES_AT_ONCE = 512, 64
 _OPS = ("<", "<=", ">", ">=", "==", "!=", "in", "not_in", "is_missing")
 
 
@@ -133,6 +133,7 @@ class Forest:
         self.words = max(1, -(-max(len(o) for o in self.leaves) // 64))
         self.n_features = n_features
         self.cells: list[np.ndarray] = []
+        self.sides: list[str] = []
         self.tables: list[np.ndarray] | None = []
         self.parts: list | None = None
         self._build(spans)
@@ -156,15 +157,19 @@ class Forest:
             self._flatten()
             return
         for own, cuts in zip(nodes, points):
-            # cells: below, at and between the cuts, and one for missing at the end
-            between = (cuts[1:] + cuts[:-1]) / 2
-            at = np.empty(2 * len(cuts) + 1)
-            at[1::2] = cuts
-            if len(cuts):
-                at[0], at[-1] = np.nextafter(cuts[0], -np.inf) - 1, cuts[-1] + 1 + abs(cuts[-1])
-                at[2:-1:2] = between
-            else:
-                at[0] = 0.0
+            # one value of each cell, and one more cell for missing at the end
+            ops = {self.trees[k].op[i] for k, i in own}
+            side = "right" if ops <= {"<", ">=", "is_missing"} else "left" if ops <= {"<=", ">", "is_missing"} else ""
+            below, above = (np.nextafter(cuts[0], -np.inf) - 1, cuts[-1] + 1 + abs(cuts[-1])) if len(cuts) else (0.0, 0.0)
+            if side == "right":  # a cut begins its cell
+                at = np.concatenate(([below], cuts))
+            elif side == "left":  # a cut ends its cell
+                at = np.concatenate((cuts, [above]))
+            else:  # below, at and between the cuts
+                at = np.empty(2 * len(cuts) + 1)
+                at[0], at[1::2] = below, cuts
+                at[2:-1:2] = (cuts[1:] + cuts[:-1]) / 2
+                at[-1] = above
             table = np.full((len(at) + 1, width), ~np.uint64(0), dtype=np.uint64)
             for k, i in own:
                 t = self.trees[k]
@@ -175,6 +180,7 @@ class Forest:
                     clear = ~np.uint64(((1 << b) - 1) & ~((1 << a) - 1))
                     table[fails, k * self.words + word] &= clear
             self.cells.append(cuts)
+            self.sides.append(side)
             self.tables.append(table)
 
     def _flatten(self) -> None:
@@ -216,10 +222,11 @@ class Forest:
 
     def _cells(self, x: np.ndarray) -> list[np.ndarray]:
         cells = []
-        for f, cuts in enumerate(self.cells):
+        for f, (cuts, side) in enumerate(zip(self.cells, self.sides)):
             c = np.ascontiguousarray(x[:, f])
-            low, high = np.searchsorted(cuts, c, side="left"), np.searchsorted(cuts, c, side="right")
-            cells.append(np.where(np.isnan(c), 2 * len(cuts) + 1, low + high))
+            cell = np.searchsorted(cuts, c, side=side) if side else np.searchsorted(cuts, c, side="left") + np.searchsorted(cuts, c, side="right")
+            cell[np.isnan(c)] = len(cuts) * (1 if side else 2) + 1
+            cells.append(cell)
         return cells
 
     def _parts(self) -> list[tuple[slice, list[tuple[int, np.ndarray]]]]:
@@ -257,9 +264,10 @@ class Forest:
                 np.negative(got, out=other)
                 np.bitwise_and(got, other, out=got)
                 exponent = real[:n]
-                exponent[...] = got  # the one bit's place is the number's exponent
+                exponent[...] = got.view(np.int64)  # the one bit's place is the number's exponent; the last bit is the sign besides
                 leaves = exponent.view(np.int64)
                 np.right_shift(leaves, 52, out=leaves)
+                np.bitwise_and(leaves, 2047, out=leaves)
                 leaves -= 1023
                 if self.words > 1:
                     leaves += 64 * place

@@ -119,6 +119,11 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits(rows, row_bytes) else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, whose joins go by shuffle: for rows that Python makes many of. Spark takes them for as few as they are made from, and would broadcast them by that."""
+    return df.hint("merge")
+
+
 def marked(places: Column) -> Column:
     """For sorted, distinct, whole places an array that has 1 at each of them and 0 before, as long as the last one needs. Linear."""
     begins = F.array_except(places, F.transform(places, lambda x: x + 1))

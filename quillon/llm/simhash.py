@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, one_of_each, small, stored
+from .common import NO_ID, dealt, one_of_each, small, stored
 from .components import components
 
 SEED = 42
@@ -159,7 +159,7 @@ def ball_links(prints: DataFrame) -> DataFrame:
     """
     near = prints.mapInArrow(_ball((0, 1)), "point long, fp long").groupBy(F.col("point").alias("p")).agg(F.min("fp").alias("x"))
     far = prints.mapInArrow(_ball((0, 1, 2)), "point long, fp long")
-    return far.join(near, F.col("point") == F.col("p")).where("x <> fp").select("x", F.col("fp").alias("y")).distinct()
+    return far.join(dealt(near), F.col("point") == F.col("p")).where("x <> fp").select("x", F.col("fp").alias("y")).distinct()
 
 
 def _met(prints: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
@@ -169,12 +169,12 @@ def _met(prints: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
     answer = prints.repartition("fp").mapInArrow(_keys(False), "key int, fp long")
     many = stored(ask.groupBy(F.col("key").alias("hot")).count().where(F.col("count") > hot).select("hot"), "hot-keys")
     n = many.count()
-    met = ask.select(F.col("key").alias("k"), F.col("fp").alias("x")).join(answer, F.col("k") == F.col("key"))
+    met = ask.select(F.col("key").alias("k"), F.col("fp").alias("x")).join(dealt(answer), F.col("k") == F.col("key"))
     met = met.where((F.col("x") < F.col("fp")) | (F.col("x") > F.col("fp"))).where(F.bit_count(F.col("x").bitwiseXOR(F.col("fp"))) <= MAX_BITS)
     if not n:
         return met.select("x", F.col("fp").alias("y")).distinct(), None
     rare = ask.join(small(many, n, 16), F.col("key") == F.col("hot"), "left_anti").select(F.col("key").alias("k"), F.col("fp").alias("x"))
-    met = rare.join(answer, F.col("k") == F.col("key")).where("x <> fp").where(F.bit_count(F.col("x").bitwiseXOR(F.col("fp"))) <= MAX_BITS)
+    met = rare.join(dealt(answer), F.col("k") == F.col("key")).where("x <> fp").where(F.bit_count(F.col("x").bitwiseXOR(F.col("fp"))) <= MAX_BITS)
     members = stored(answer.join(small(many, n, 16), F.col("key") == F.col("hot"), "left_semi").select("fp").distinct(), "hot-members")
     return stored(met.select("x", F.col("fp").alias("y")).distinct(), "met"), members
 
@@ -195,8 +195,8 @@ def _counted(members: DataFrame) -> DataFrame:
     near = members.mapInArrow(_ball((0, 1)), "point long, fp long")
     one = members.mapInArrow(_ball((1,)), "point long, fp long").groupBy(F.col("point").alias("p1")).agg(F.count("*").alias("one"))
     two = members.mapInArrow(_ball((0, 1, 2)), "point long, fp long").groupBy(F.col("point").alias("p2")).agg(F.count("*").alias("c"))
-    points = near.join(two, F.col("point") == F.col("p2")).groupBy(F.col("fp").alias("dfp")).agg(F.sum("c").alias("s"))
-    met = points.join(one, F.col("dfp") == F.col("p1"), "left").withColumn("one", F.coalesce("one", F.lit(0)))
+    points = near.join(dealt(two), F.col("point") == F.col("p2")).groupBy(F.col("fp").alias("dfp")).agg(F.sum("c").alias("s"))
+    met = points.join(dealt(one), F.col("dfp") == F.col("p1"), "left").withColumn("one", F.coalesce("one", F.lit(0)))
     return met.select("dfp", (F.col("one") + ((F.col("s") - 65 - 65 * F.col("one")) / 3)).cast("bigint").alias("n"))
 
 

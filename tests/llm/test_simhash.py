@@ -131,3 +131,21 @@ def test_components_of_null_ids_stay_apart(spark):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (None, "quite another text is here"), (7, "one of id seven"), (7, "and some other words")]
     kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
+
+
+def test_rows_made_of_fingerprints_are_not_broadcast(spark):
+    from quillon.llm.common import stored
+
+    rnd = random.Random(8)
+    centre = rnd.getrandbits(64)
+    prints = {centre ^ 1 << a ^ 1 << b for a in range(12) for b in range(12)} | {rnd.getrandbits(64) for _ in range(50)}
+    signed = np.array(sorted(prints), dtype=np.uint64).view(np.int64).tolist()
+    # a stored table of known size, small enough for Spark to broadcast
+    frame = stored(spark.createDataFrame([(x,) for x in signed], "fp long"), "prints")
+    for hot in (2, 10_000):
+        met, members = simhash._met(frame, hot)
+        assert (members is None) == (hot == 10_000)
+        made = [simhash.links(frame, hot)] if members is None else [simhash.ball_links(members), simhash._counted(members)]
+        for df in made:
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan

@@ -16,8 +16,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NO_ID = 2**63 - 1
 #: A side may be broadcast up to this many bytes, as estimated from its counted rows.
 BROADCAST_BYTES = 32 << 20
+#: Packed rows leave Python by so many, so that no worker and no executor holds a second whole batch of them.
+PART = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +56,20 @@ def of(name: str) -> Column:
     return F.col("_doc").getField(name)
 
 
+def parts(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Packed rows (_doc) by PART, each part with the field at place: a text need not be sent beside the row that holds it."""
+    for b in batches:
+        for at in range(0, b.num_rows, PART):
+            docs = b.column(0).slice(at, PART)
+            yield docs, docs.field(place)
+
+
+def place_of(name: str, documents: DataFrame) -> int:
+    """Where documents have a column, which Spark finds in any case."""
+    names = documents.columns
+    return names.index(name) if name in names else [c.lower() for c in names].index(name)
+
+
 def unpacked(df: DataFrame, documents: DataFrame, **new: Column) -> DataFrame:
     """The columns of documents again, some with new values; n_chars follows a new text."""
     if "text" in new and "n_chars" in documents.columns:

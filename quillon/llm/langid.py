@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import of, packed, unpacked
+from .common import of, packed, parts, place_of, unpacked
 
 BUCKETS = 1 << 16
 #: First code points of script ranges (fixed values, by Unicode block), and names.
@@ -206,6 +206,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+def _identified(shared, place: int):
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, texts in parts(batches, place):
+            found = [shared.value.predict(t.as_py()) for t in texts]
+            spans = pa.array([[{"lang": x, "start": i, "end": j} for x, i, j in f[2]] for f in found], kind)
+            new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans]
+            yield pa.RecordBatch.from_arrays([docs, *new], names=["_doc", "_lang", "_score", "_spans"])
+
+    return run
+
+
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """Per row of documents: _doc (all its columns), _lang, _score, _spans (array of lang, start, end in code points).
 
@@ -213,19 +226,10 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     and no spans; so has every text if nothing was learned.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = packed(documents).select("_doc", of("text").alias("_text"))
-    kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shared.value.predict(t.as_py()) for t in b.column(1)]
-            spans = pa.array([[{"lang": x, "start": i, "end": j} for x, i, j in f[2]] for f in found], kind)
-            new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["_doc", "_lang", "_score", "_spans"])
-
+    rows = packed(documents)
     span = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([rows.schema["_doc"], T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_spans", span)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(_identified(shared, place_of("text", documents)), schema)
 
 
 def predict(documents: DataFrame) -> DataFrame:

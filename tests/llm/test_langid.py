@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from quillon.llm import langid
 
@@ -142,3 +143,22 @@ def test_odd_rows(odd):
     assert langid.predict(odd.limit(0)).count() == 0
     unlabelled = odd.withColumn("lang", odd["lang"].substr(1, 0)).where("false").unionByName(odd)
     assert {r._lang for r in langid.identify(unlabelled, langid.train(odd.where("lang is null"))).collect()} == {"und"}
+
+
+def test_a_text_is_sent_once_and_rows_leave_by_parts(frame):
+    from types import SimpleNamespace
+
+    from quillon.llm.common import PART
+
+    table = frame([(i, f"hello how are you {chr(97 + i % 26) * 3}", "en", "s") for i in range(2 * PART + 9)])
+    model = langid.train(table)
+    plan = langid.identify(table, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" not in plan
+    docs = pa.array([{"doc_id": i, "text": None if i % 7 == 0 else f"hello {i}"} for i in range(2 * PART + 9)])
+    # a batch may be a slice of another
+    batch = pa.RecordBatch.from_arrays([docs], names=["_doc"]).slice(3)
+    got = list(langid._identified(SimpleNamespace(value=model), 1)(iter([batch])))
+    assert [b.num_rows for b in got] == [PART, PART, 6]
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [r["_doc"] for r in rows] == docs.to_pylist()[3:]
+    assert all((r["_lang"], r["_score"]) == model.predict(r["_doc"]["text"])[:2] for r in rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from functools import partial
 from itertools import product
 
@@ -59,22 +60,24 @@ def min_max_scaler(ins: list[Value], ctx: Context):
     return [c * F.lit(hi - lo) + F.lit(lo) for c in _shift_scale(ins, ctx, "data_min", "data_max")]
 
 
-def _normed(kind: str, n: int, rows: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A sparse value's entries by their row's norm."""
+def _divisors(kind: str, n: int, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The norm of each of a sparse value's rows, or 1."""
     if kind == "max":
         norm = np.zeros(n)
         np.maximum.at(norm, rows, np.abs(x))
     else:
         norm = np.bincount(rows, np.abs(x) if kind == "l1" else x * x, n)
         norm = norm if kind == "l1" else np.sqrt(norm)
-    return x / np.where(norm > 1e-12, norm, 1.0)[rows]
+    return np.where(norm > 1e-12, norm, 1.0)
 
 
 @operator("feature", "Normalizer")
 def normalizer(ins: list[Value], ctx: Context):
     """By the row's l1, max or else l2 norm; a norm up to 1e-12 leaves the row as it is."""
     if wide := sparse(ins):
-        return sparse_map(wide, partial(_normed, ctx.get("norm", "l2")))
+        divisors = partial(_divisors, ctx.get("norm", "l2"))
+        made = sparse_map(wide, lambda n, rows, at, x: x / divisors(n, rows, x)[rows])
+        return replace(made, whole=wide.cols[0], divisors=divisors)
     x, kind = matrix(ins), ctx.get("norm", "l2")
     if kind == "l1":
         norm = total([F.abs(c) for c in x])

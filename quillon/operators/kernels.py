@@ -54,16 +54,31 @@ def entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sparse_dot(spark: SparkSession | None, value: Value, weights: np.ndarray) -> list[Column]:
-    """A sparse value times each row of weights; what it doesn't hold is zero."""
+    """A sparse value times each row of weights; what it doesn't hold is zero.
+
+    A normalised one is divided after its sums, so that they are rounded once; only a row whose sums overflow is divided before.
+    """
     weights = np.ascontiguousarray(weights, dtype=float)
     if weights.shape[1] != value.size:
         raise BadShape(f"{weights.shape[1]} weights are given for {value.size} features")
+    divisors = value.divisors
 
-    def run(column: pa.Array) -> np.ndarray:
-        rows, at, x = entries(column)
-        return np.stack([np.bincount(rows, w[at] * x, len(column)) for w in weights], axis=1)
+    def sums(n: int, rows: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(rows, w[at] * x, n) for w in weights], axis=1)
 
-    return kernel(spark, run, value.cols, len(weights), arrays=True)
+    def run(column: pa.Array) -> np.ndarray:
+        n, (rows, at, x) = len(column), entries(column)
+        out = sums(n, rows, at, x)
+        if divisors is None:
+            return out
+        by = divisors(n, rows, x)
+        over = ~np.isfinite(out).all(axis=1)
+        out = out / by[:, None]
+        if over.any():
+            out[over] = sums(n, rows, at, x / by[rows])[over]
+        return out
+
+    return kernel(spark, run, value.cols if divisors is None else [value.whole], len(weights), arrays=True)
 
 
 def sparse_map(value: Value, run: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Value:

@@ -17,12 +17,16 @@ class Value:
     """A row's value: one column for each of its elements, or for ``tokens`` a single array of strings.
 
     A ``map`` is a wide sparse value: one column of index to number, whose size is that of its dense form.
+    If a normalizer made it, ``whole`` is the map that it divided, and ``divisors`` gives the rows' divisors from
+    their number and each entry's row and value: sums over entries then divide once, not each entry before.
     """
 
     cols: list[Column]
     kind: str = "number"  # number, string, tokens or map
     names: list[str] | None = None
     size: int = 0
+    whole: Column | None = None
+    divisors: Callable | None = None
 
     @property
     def width(self) -> int:

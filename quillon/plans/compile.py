@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -48,7 +49,7 @@ class _Plan:
                 self.n += 1
                 new.append(c.alias(name))
                 cols.append(F.col(name))
-            out.append(Value(cols, v.kind, v.names, v.size))
+            out.append(replace(v, cols=cols))
         self.df = self.df.select("*", *new)
         return out
 

@@ -232,6 +232,29 @@ def test_wide_sparse_values(spark):
             apply(spark, rows, [node("text.HashingVectorizer", "w", "h"), *nodes], ["b"], types={"w": "tokens"})
 
 
+def test_wide_normalised_sums_divide_once(spark):
+    words, size = ["alpha", "beta", "gamma"], 1 << 18
+    place = {w: HashingTF(numFeatures=size).indexOf(w) for w in words}
+    weights, counts = [[0.0] * size for _ in range(2)], [[a, b, c] for a in range(1, 4) for b in range(4) for c in range(4)]
+    for w, x, y in zip(words, (0.625, -0.375, 1.25), (1.0, 2.0, 3.0)):
+        weights[0][place[w]], weights[1][place[w]] = x, y
+    rows = [{"w": [w for w, n in zip(words, c) for _ in range(n)]} for c in counts] + [{"w": []}, {"w": None}]
+    norms = {"l1": sum, "max": max, "l2": lambda c: math.sqrt(sum(n * n for n in c))}
+    huge = {"coefficients": [[1e308] * size]}
+    got = apply(spark, rows, [
+        node("text.HashingVectorizer", "w", "h"), *[node("feature.Normalizer", "h", k, norm=k) for k in norms], *[node("model.Linear", k, f"{k}_lin", coefficients=weights, intercept=[0, 0]) for k in norms],
+        node("feature.TruncatedSVD", "l2", "svd", components=weights), node("feature.Normalizer", "l2", "again", norm="l1"), node("feature.TruncatedSVD", "again", "twice", components=weights),
+        node("text.TfIdfTransformer", "l1", "t", idf=[2.0] * size), node("model.Linear", "t", "t_lin", coefficients=weights, intercept=[0, 0]), node("model.Linear", "l1", "huge", intercept=[0], **huge),
+    ], [*norms, *[f"{k}_lin" for k in norms], "svd", "twice", "t_lin", "huge"], types={"w": "tokens"})
+    for k, norm in norms.items():
+        assert got[f"{k}_lin"] == [*[[(0.625 * a - 0.375 * b + 1.25 * c) / norm([a, b, c]), (a + 2.0 * b + 3.0 * c) / norm([a, b, c])] for a, b, c in counts], [0, 0], [0, 0]]
+        assert got[k] == [*[{place[w]: n / norm(c) for w, n in zip(words, c) if n} for c in counts], {}, {}]
+    assert got["svd"] == got["l2_lin"]
+    close(got["twice"], got["l1_lin"])
+    close(got["t_lin"], [[2 * v for v in r] for r in got["l1_lin"]])
+    close(got["huge"], [1e308] * len(counts) + [0, 0])  # the sums before division overflow
+
+
 def test_reshape_across_rows(spark):
     df = spark.createDataFrame([(1, "g", 1.0, 2.0, "x"), (5, "g", 3.0, None, "y"), (7, "h", 5.0, 6.0, None)], "i long, g string, a double, b double, other string")
     wide = [node("core.Concat", ["a", "b"], "w")]
